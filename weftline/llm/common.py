@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -74,6 +74,24 @@ def held_out_by(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
 
 
+def hash_sample(rows: DataFrame, by: str, per: int, order: Column) -> list[Row]:
+    """At most ``per`` rows of each value of ``by``, those with the smallest ``order`` hashes, on the driver.
+
+    A hash threshold from exact counts picks about 1.2 times as many rows where they lie;
+    nothing is ranked or gathered by value, so a hot value costs no more than another.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n")).select(F.col(by).alias("_v"), ((1.2 * per + 40) / F.col("_n")).alias("_share"))
+    place = F.shiftright(order, 1).bitwiseAND(2**52 - 1).cast("double") / float(2**52)
+    picked = rows.withColumn("_o", place).join(F.broadcast(counts), F.col(by) == F.col("_v")).where("_o < _share").drop("_v", "_share").collect()
+    taken: dict = {}
+    out = []
+    for r in sorted(picked, key=lambda r: (str(r[by]), r["_o"])):
+        taken[r[by]] = taken.get(r[by], 0) + 1
+        if taken[r[by]] <= per:
+            out.append(r)
+    return out
+
+
 def in_groups(
     df: DataFrame,
     keys: list[str],

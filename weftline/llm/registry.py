@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, language, mixing, neardup, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,11 +18,14 @@ def _on(fn: Callable[..., DataFrame], *tables: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": _on(decontaminate.query, "documents", "benchmark"),
+    "op5_neardup": _on(neardup.query, "documents"),
+    "op6_language": _on(language.query, "documents"),
     "op7_sharding": _on(sharding.query, "documents"),
     "op9_mixing": _on(mixing.query, "documents"),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op5_neardup": neardup.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
