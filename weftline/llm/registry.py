@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, neardup, sharding
+from . import decontaminate, html, language, mixing, neardup, sharding, tokens, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,14 +18,18 @@ def _on(fn: Callable[..., DataFrame], *tables: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": _on(decontaminate.query, "documents", "benchmark"),
+    "op3_tokens": _on(tokens.query, "documents"),
+    "op4_html": _on(html.query, "pages"),
     "op5_neardup": _on(neardup.query, "documents"),
     "op6_language": _on(language.query, "documents"),
     "op7_sharding": _on(sharding.query, "documents"),
+    "op8_vectors": _on(vectors.query, "embeddings"),
     "op9_mixing": _on(mixing.query, "documents"),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op5_neardup": neardup.ORACLE_SQL,
+    "op8_vectors": vectors.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
