@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, language, mixing, neardup, sharding, tokens, vectors
+from . import decontaminate, html, language, mixing, neardup, quality, sharding, tokens, toxicity, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _on(fn: Callable[..., DataFrame], *tables: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": _on(decontaminate.query, "documents", "benchmark"),
+    "op2_toxicity": _on(toxicity.query, "documents", "labels"),
     "op3_tokens": _on(tokens.query, "documents"),
     "op4_html": _on(html.query, "pages"),
     "op5_neardup": _on(neardup.query, "documents"),
@@ -25,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op7_sharding": _on(sharding.query, "documents"),
     "op8_vectors": _on(vectors.query, "embeddings"),
     "op9_mixing": _on(mixing.query, "documents"),
+    "op10_quality": _on(quality.query, "documents", "labels"),
 }
 
 ORACLE_SQL: dict[str, str] = {
