@@ -3,17 +3,18 @@
 Documents are dealt out by ranges of doc_id and sorted, so that file after file holds
 them in ascending order. Each task encodes whole texts, appends the end id and packs
 the stream into rows of ``length`` ids: an Arrow file (random-access stream format) whose record
-batches have two fixed-size-list columns, ``ids`` and ``mask`` (1 for a token, 0 for
-the padding of a file's last row). A memory-mapped file gives any row without a copy. Beside it, a file
+batches have two fixed-size-list columns, ``ids`` (16 bits an id where the vocabulary
+allows, else 32) and ``mask`` (a bit: true for a token, false for the padding of a file's last
+row). A memory-mapped file gives any row without a copy. Beside it, a file
 of the same name ending in ``.docs.arrow`` holds doc_id, start (inside the file) and n_tokens.
 
 Files are written under a name of the attempt and then renamed, so a repeated task leaves
 the same file. They go through the filesystem named by the path, which the executors share.
 Only one row a file comes to the driver.
 
-Texts are cut at the space character, which no token spans, and each distinct piece is
-encoded once per worker while a bounded memory of pieces lasts: the ids are those of the
-whole text. Defined cases: a null text is encoded as empty (the end id only); rows with equal doc_id
+Texts are cut at the space character and before closing marks, where the tokenizer cuts as well, and each
+distinct piece is encoded once per worker while a bounded memory of pieces lasts: the ids are those
+of the whole text (for the lower-casing, space-dropping vocabulary that this is made for). Defined cases: a null text is encoded as empty (the end id only); rows with equal doc_id
 are ordered by the hash of their text; null ids come first; an empty table gives no rows;
 other columns are ignored.
 """
@@ -33,7 +34,8 @@ from .common import new_path
 
 LENGTH, ROWS, END = 1024, 64, 1
 #: Pieces that a worker remembers (about 200 bytes each), and documents encoded at a time.
-PIECES, DOCS = 400_000, 256
+PIECES, DOCS = 1_000_000, 256
+MARKS = ".,!?;:"
 
 
 class Pieces:
@@ -43,20 +45,31 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer, self.known = tokenizer_path, Tokenizer.from_file(tokenizer_path), {"": b""}
+        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         if len(self.known) > PIECES:
             self.known = {"": b""}
         known = self.known
-        new = list({p for parts in split for p in parts if p not in known})
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
+        new = {p: core(p) for p in {p for parts in split for p in parts if p not in known}}
+        bare = list({q for pair in new.values() for q in pair if q not in known})
+        for a in range(0, len(bare), 4096):
+            some = bare[a : a + 4096]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, dtype="<u4").tobytes()
+        for p, (word, marks) in new.items():
+            known[p] = known[word] + known[marks]
         return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
+def core(piece: str) -> tuple[str, str]:
+    """A piece as a word and the marks after it, which are tokens of their own; ASCII in lower case, as the vocabulary has it."""
+    low = piece.lower() if piece.isascii() and "<|" not in piece else piece
+    word = low.rstrip(MARKS)
+    return (word, low[len(word) :]) if word and word[-1].isalnum() else (low, "")
+
+
 _pieces: Pieces | None = None
 
 
@@ -70,8 +83,8 @@ def pieces(tokenizer_path: str) -> Pieces:
     return _pieces
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, wide: bool) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -80,8 +93,9 @@ DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_toke
 class FileWriter:
     """Packs documents into one file; holds one record batch at a time."""
 
-    def __init__(self, sink: pa.NativeFile, docs_sink: pa.NativeFile, length: int):
-        self.length, self.schema = length, sequence_schema(length)
+    def __init__(self, sink: pa.NativeFile, docs_sink: pa.NativeFile, length: int, wide: bool = True):
+        self.length, self.schema = length, sequence_schema(length, wide)
+        self.kind = np.uint32 if wide else np.uint16
         self.out, self.docs = pa.ipc.new_file(sink, self.schema), pa.ipc.new_file(docs_sink, DOCS_SCHEMA)
         self.waiting: list[bytes] = []
         self.held = self.total = self.n_docs = 0
@@ -106,9 +120,9 @@ class FileWriter:
         for a in range(0, n, ROWS):
             own = whole[a * self.length : (a + ROWS) * self.length]
             rows = -(-len(own) // self.length)
-            full = np.zeros(rows * self.length, dtype=np.uint32)
-            mask = np.zeros(rows * self.length, dtype=np.uint8)
-            full[: len(own)], mask[: len(own)] = own, 1
+            full = np.zeros(rows * self.length, dtype=self.kind)
+            mask = np.zeros(rows * self.length, dtype=bool)
+            full[: len(own)], mask[: len(own)] = own, True
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (full, mask)]
             self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.waiting, self.held = [rest.tobytes()], len(rest)
@@ -141,7 +155,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, length: int =
                 if writer is None:
                     files.create_dir(root, recursive=True)
                     sinks = [files.open_output_stream(f"{root}/.{name}.{kind}.{attempt}") for kind in ("ids", "docs")]
-                    writer = FileWriter(*sinks, length)
+                    writer = FileWriter(*sinks, length, coder.wide)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(texts), strict=True):
                     writer.add(doc_id, ids + tail)
@@ -158,27 +172,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, length: int =
     return sorted((r["file"], r["n_docs"], r["n_tokens"]) for r in done)
 
 
-def sequence(file: pa.NativeFile | pa.MemoryMappedFile, row: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one row: views into the (memory-mapped) file, found by position alone.
+def sequence(file: pa.NativeFile | pa.MemoryMappedFile, row: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Ids and mask of one row: views into the (memory-mapped) file, no copies.
 
-    All but a file's last flush hold full batches of ``rows``; batches are walked only where they are shorter."""
+    All batches but those at a flush's end hold ROWS rows, so few are looked at before the right one."""
     reader = pa.ipc.open_file(file)
     at, k = 0, 0
-    while True:
-        batch = reader.get_batch(k)
-        if row < at + batch.num_rows:
-            length = batch.schema.field("ids").type.list_size
-            low = (row - at) * length
-            views = [batch.column(c).values.to_numpy(zero_copy_only=True) for c in ("ids", "mask")]
-            offset = [batch.column(c).offset * length for c in ("ids", "mask")]
-            return views[0][offset[0] + low : offset[0] + low + length], views[1][offset[1] + low : offset[1] + low + length]
+    while row >= at + (batch := reader.get_batch(k)).num_rows:
         at, k = at + batch.num_rows, k + 1
+    ids, mask = (batch.column(c).slice(row - at, 1).flatten() for c in ("ids", "mask"))
+    return ids.to_numpy(zero_copy_only=True), mask
 
 
 def documents_of(ids_file: pa.NativeFile, docs_file: pa.NativeFile) -> Iterator[tuple[int | None, int, int, list[np.ndarray]]]:
     """(doc_id, start, n_tokens, pieces of ids) for each document of a file, one record batch at a time."""
     reader, index = pa.ipc.open_file(ids_file), pa.ipc.open_file(docs_file)
-    k, have = 0, np.zeros(0, dtype=np.uint32)
+    k, have = 0, np.zeros(0, dtype=np.uint16)
     for b in range(index.num_record_batches):
         batch = index.get_batch(b)
         for doc_id, start, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
@@ -211,7 +220,7 @@ def read_tokens(spark: SparkSession, path: str, written: list[tuple[str, int, in
                     for doc_id, start, n, got in documents_of(a, b):
                         crc = 0
                         for piece in got:
-                            crc = zlib.crc32(piece.astype("<u4", copy=False), crc)
+                            crc = zlib.crc32(piece.astype("<u4"), crc)
                         rows.append((doc_id, base + start, n, crc))
                         if len(rows) >= 16384:
                             yield _batch(rows)
