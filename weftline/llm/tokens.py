@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from .common import new_path
 LENGTH, ROWS, END = 1024, 64, 1
 #: Pieces that a worker remembers (about 200 bytes each), and documents encoded at a time.
 PIECES, DOCS = 1_000_000, 256
+#: Plain words encoded in one call.
+JOINED = 256
 MARKS = ".,!?;:"
 
 
@@ -45,6 +48,9 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer, self.known = tokenizer_path, Tokenizer.from_file(tokenizer_path), {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -52,22 +58,38 @@ class Pieces:
         if len(self.known) > PIECES:
             self.known = {"": b""}
         known = self.known
-        new = {p: core(p) for p in {p for parts in split for p in parts if p not in known}}
-        bare = list({q for pair in new.values() for q in pair if q not in known})
-        for a in range(0, len(bare), 4096):
-            some = bare[a : a + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
+        new = {p: core(p) for p in set().union(*split).difference(known)}
+        bare = {q for pair in new.values() for q in pair}.difference(known)
+        words = [q for q in bare if q.isalpha() and q.lower().isalpha() and is_normalized("NFC", q)]
+        for a in range(0, len(words), JOINED):
+            self._words(words[a : a + JOINED])
+        self._each([q for q in bare if q not in known])
         for p, (word, marks) in new.items():
             known[p] = known[word] + known[marks]
         return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
+    def _each(self, some: list[str]) -> None:
+        for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Plain words, encoded as one text: the vocabulary marks the last token of each. If that doesn't give as many words, one by one."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._each(words)
+        data = ids.tobytes()
+        at = 0
+        for word, end in zip(words, ends, strict=True):
+            self.known[word] = data[4 * at : 4 * end]
+            at = end
+
 
 def core(piece: str) -> tuple[str, str]:
     """A piece as a word and the marks after it, which are tokens of their own; ASCII in lower case, as the vocabulary has it."""
     low = piece.lower() if piece.isascii() and "<|" not in piece else piece
     word = low.rstrip(MARKS)
-    return (word, low[len(word) :]) if word and word[-1].isalnum() else (low, "")
+    return (word, low[len(word) :]) if word and word[-1].lower()[-1].isalnum() else (low, "")
 
 
 _pieces: Pieces | None = None
