@@ -12,7 +12,7 @@ Files are written under a name of the attempt and then renamed, so a repeated ta
 the same file. They go through the filesystem named by the path, which the executors share.
 Only one row a file comes to the driver.
 
-Texts are cut at the space character and before closing marks, where the tokenizer cuts as well, and each
+Texts are cut at spaces and line ends and before closing marks, where the tokenizer cuts as well, and each
 distinct piece is encoded once per worker while a bounded memory of pieces lasts: the ids are those
 of the whole text (for the lower-casing, space-dropping vocabulary that this is made for). Defined cases: a null text is encoded as empty (the end id only); rows with equal doc_id
 are ordered by the hash of their text; null ids come first; an empty table gives no rows;
@@ -54,13 +54,15 @@ class Pieces:
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        split = [plain(t).split(" ") for t in texts]
         if len(self.known) > PIECES:
             self.known = {"": b""}
         known = self.known
-        new = {p: core(p) for p in set().union(*split).difference(known)}
-        bare = {q for pair in new.values() for q in pair}.difference(known)
-        words = [q for q in bare if q.isalpha() and q.lower().isalpha() and is_normalized("NFC", q)]
+        fresh = set().union(*split).difference(known)
+        bare = {p for p in fresh if p.isalpha() and p.islower()}  # their own cores
+        new = {p: core(p) for p in fresh.difference(bare)}
+        bare |= {q for pair in new.values() for q in pair}.difference(known)
+        words = [q for q in bare if q.isalpha() and (q.isascii() or q.lower().isalpha() and is_normalized("NFC", q))]
         for a in range(0, len(words), JOINED):
             self._words(words[a : a + JOINED])
         self._each([q for q in bare if q not in known])
@@ -85,6 +87,12 @@ class Pieces:
             at = end
 
 
+def plain(text: str) -> str:
+    """The text with line ends as spaces and, if all ASCII, in lower case: the vocabulary's own normalisation, done once a text, so that fewer pieces differ."""
+    low = text.lower() if text.isascii() and "<|" not in text else text
+    return low.replace("\n", " ")
+
+
 def core(piece: str) -> tuple[str, str]:
     """A piece as a word and the marks after it, which are tokens of their own; ASCII in lower case, as the vocabulary has it."""
     low = piece.lower() if piece.isascii() and "<|" not in piece else piece
