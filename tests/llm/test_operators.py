@@ -182,6 +182,10 @@ def test_tokens_round_trip(docs, nothing, tmp_path):
     mixed = ["İ, Été. don't <|endoftext|> ﬁ... \xa0x", "á, ΑΣ."]
     got = [np.frombuffer(b, "<u4").tolist() for b in tokens.Pieces(path).encode(mixed)]
     assert got == [e.ids for e in tok.encode_batch(mixed, add_special_tokens=False)]
+    parts = [" ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2028", "a", "B", "É", "e\u0301", "\u0301", "İ", "ẞ", "Σ", "1", "½", "'s", "'T", ".", "!?", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "_", "日", "😀", "ﬁ"]
+    mixed = ["".join(parts[i] for i in RNG.integers(0, len(parts), n)) for n in RNG.integers(0, 14, 5000)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in tokens.Pieces(path).encode(mixed)]
+    assert got == [e.ids for e in tok.encode_batch(mixed, add_special_tokens=False)]
 
 
 PAGE = (
