@@ -141,7 +141,7 @@ def pieces(texts: list[bytes], grams: np.ndarray, most: int) -> bytes:
 
 
 def background(texts: list[bytes]) -> bytes:
-    samples = [w for t in texts for w in windows(t)[:40]]
+    samples = [w for t in texts for w in windows(t)]
     try:
         return zstd.train_dictionary(BACKGROUND, samples).as_bytes()
     except zstd.ZstdError:  # too few samples to train on: the samples themselves
@@ -170,7 +170,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 def dictionaries(data: list[bytes], y: np.ndarray) -> Model:
     toxic, ordinary = [d for d, t in zip(data, y, strict=True) if t], [d for d, t in zip(data, y, strict=True) if not t]
-    base = background(ordinary[:800])
+    base = background(ordinary)
     return Model(pieces(toxic, characteristic(toxic, ordinary), PIECES) + base, base)
 
 
