@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.queries import Direction, Endpoint, Path, endpoint, highlight_query, resolved, root_queries
-from weftline.operators import asof, edges, prune, reach
+from weftline.operators import asof, edges, prune, reach, render
 from weftline.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
@@ -66,6 +66,29 @@ def test_text_operators(spark):
     assert {(r["line"], r["start"]) for r in lines} == {(1, 0), (2, 4)}
 
 
+def test_rendered_flags():
+    assert render.pruning_text(["a", "L3"], 1, 1) == "-r a,L3 -C 1" and render.pruning_text(["b"], 2, 0) == "-r b -A 2 -B 0"
+    texts = [render.depth_text(*x) for x in ((10, 10), (3, 3), (10, 4), (4, 10), (1, 2))]
+    assert texts == [None, "--depth 3", "--depth-block 4", "--depth-function 4", "--depth-function 1 --depth-block 2"]
+    with pytest.raises(ValueError):
+        render.nest_slot(F.lit(1), 0)
+
+
+def test_numbers_have_no_gaps(spark):
+    rows = render.numbered(spark.range(1000).select((F.col("id") * 37 % 1000).alias("id")).repartition(7), ["id"]).collect()
+    assert sorted((r["number"], r["id"]) for r in rows) == [(k + 1, k) for k in range(1000)]
+    assert render.numbered(spark.range(0), ["id"]).count() == 0
+
+
+def test_labels_of_missing_ends_and_unknown_edges(spark):
+    df = spark.createDataFrame([(1, None), (1, 1), (1, 3)], "a int, b int")
+    assert [r[0] for r in df.select(render.line_range(F.col("a"), F.col("b"))).collect()] == ["L1", "L1", "L1-3"]
+    e = graph(spark, [(1, 2, "read"), (2, 3, "call")])
+    one = spark.createDataFrame([(1,), (1,)], "id long")
+    assert {r["text"] for r in render.arrows(e, one).collect()} == {"  n1 -.->|read| n2", "  n2 -->|call| n3"}
+    assert {tuple(r) for r in render.subgraph_ends(e, spark.createDataFrame([(1,), (2,)], "id long")).collect()} == {(1, "source"), (2, "target")}
+
+
 def test_query_grammar():
     assert endpoint("3-9") == Endpoint(3, 9) and endpoint("3:ab") == Endpoint(3, 3, "ab") and endpoint("L3-4") == Endpoint(3, 4)
     assert endpoint("L12").ambiguous and resolved(endpoint("L12"), True) == Endpoint(name="L12") and resolved(endpoint("L12"), False) == Endpoint(12, 12)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.queries import endpoint, root_queries
-from ..operators import asof, edges, prune, reach
+from ..operators import asof, edges, prune, reach, render
 from ..sources import driver_graph as g
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,3 +234,56 @@ def flow_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = F.format_string("  n%d -->|%s| n%d", F.col("src"), edges.escaped(F.col("label")), F.col("dst"))
     rows = g.edges(spark, d).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ord", "dst", "label", lines.alias("t")))).alias("a"))
     return rows.select("src", F.array_join("a.t", "\n").alias("text"))
+
+
+@query("SELECT n_nationkey, 'L' || n_nationkey || CASE WHEN n_regionkey <> 0 THEN '-' || (n_nationkey + n_regionkey) ELSE '' END AS label FROM nation")
+def line_ranges(spark: SparkSession, d: str) -> DataFrame:
+    n = g.read(spark, d, "nation")
+    return n.select("n_nationkey", render.line_range(F.col("n_nationkey"), F.col("n_nationkey") + F.col("n_regionkey")).alias("label"))
+
+
+@query(f"{CLOSURE} SELECT id, (max(distance) % 3)::INT AS slot FROM cl GROUP BY id")
+def nest_slots(spark: SparkSession, d: str) -> DataFrame:
+    depth = reach.closure(g.nodes(spark, d)).groupBy("id").agg((F.max("distance") + 1).alias("depth"))
+    return depth.select("id", render.nest_slot(F.col("depth"), 3).cast("int").alias("slot"))
+
+
+STUBS = f"stubs AS (SELECT {5 * S} + p_partkey AS id FROM part WHERE p_size >= 40)"
+
+
+def _stubs(spark: SparkSession, d: str) -> DataFrame:
+    return g.read(spark, d, "part").where("p_size >= 40").select(g.node_id("part", "p_partkey").alias("id"))
+
+
+@query(f"""WITH {g.GRAPH_SQL}, {STUBS} SELECT src, dst, label, ord, '  n' || src || CASE WHEN src IN (SELECT id FROM stubs) OR dst IN (SELECT id FROM stubs) THEN ' -.->|' ELSE ' -->|' END || label || '| n' || dst AS text FROM edges""")
+def edge_arrows(spark: SparkSession, d: str) -> DataFrame:
+    return render.arrows(g.edges(spark, d), _stubs(spark, d)).select("src", "dst", "label", "ord", "text")
+
+
+@query(f"WITH {g.GRAPH_SQL} SELECT src, dst, label, ord, (src IN (SELECT id FROM nodes WHERE kind = 'customer'))::INT AS section FROM edges")
+def edge_sections(spark: SparkSession, d: str) -> DataFrame:
+    sources = g.nodes(spark, d).where("kind = 'customer'")
+    return render.in_sections(g.edges(spark, d), sources).select("src", "dst", "label", "ord", "section")
+
+
+@query(f"""WITH {g.GRAPH_SQL}, sub AS (SELECT id FROM nodes WHERE kind IN ('region', 'nation', 'customer'))
+SELECT id, CASE WHEN id IN (SELECT dst FROM edges) THEN 'target' ELSE 'source' END AS role FROM sub WHERE id IN (SELECT dst FROM edges) OR id IN (SELECT src FROM edges)""")
+def subgraph_roles(spark: SparkSession, d: str) -> DataFrame:
+    return render.subgraph_ends(g.edges(spark, d), g.nodes(spark, d).where("kind IN ('region', 'nation', 'customer')"))
+
+
+@query(ORACLE_SQL["prune_boundary"].replace("SELECT inside, 'out'", ", b AS (SELECT inside, 'out'", 1) + """), k AS (SELECT *, row_number() OVER (ORDER BY inside, direction) AS number FROM b)
+SELECT number, 'boundary_stub_' || number AS stub, '  boundary_stub_' || number || '((...))' || chr(10) || CASE direction WHEN 'out' THEN '  n' || inside || ' -.-> boundary_stub_' || number
+ELSE '  boundary_stub_' || number || ' -.->|' || coalesce(label, '') || '| n' || inside END AS text FROM k""")
+def boundary_stubs(spark: SparkSession, d: str) -> DataFrame:
+    return render.boundary_stubs(prune_boundary(spark, d))
+
+
+@query(f"""{DEGREE}, un AS (SELECT id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.id AND e.src <> e.dst AND e.label NOT IN ('set', 'write')))
+SELECT d.id, n_out::VARCHAR AS out_degree, n_in::VARCHAR AS in_degree, 'graph:' || line || CASE WHEN d.id IN (SELECT id FROM un) THEN ' unused ' ELSE ' ' END || name AS label FROM deg d JOIN nodes USING (id)""")
+def stat_rows(spark: SparkSession, d: str) -> DataFrame:
+    n, e = g.nodes(spark, d), g.edges(spark, d)
+    rows = edges.degrees(n.select("id", "line", "name"), e)
+    unused = edges.unused(n.select("id"), e).withColumn("unused", F.lit(True))
+    rows = rows.join(unused, "id", "left").withColumn("unused", F.coalesce("unused", F.lit(False)))
+    return rows.select("id", "out_degree", "in_degree", render.stat_label(F.lit("graph"), F.col("line"), F.col("name"), F.col("unused")).alias("label"))
