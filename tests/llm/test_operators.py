@@ -251,3 +251,13 @@ def test_classifiers_on_held_out_rows(spark, module, column, mod, rest):
     assert (held.predicted == held.doc_id.map(truth)).mean() > 0.9
     assert module.query(docs.limit(0), labels).count() == 0
     assert module.query(docs, labels.limit(0)).toPandas().score.eq(0).all()
+
+
+def test_quality_keeps_all_shapes_of_a_text(monkeypatch):
+    many = " ".join(f"{chr(0x4E00 + k)}a{chr(0x4E00 + k // 7)}" for k in range(300))
+    plain = [prose(40, k) for k in range(20)]
+    texts, y = [*plain, *[p.upper() + " !!" for p in plain]], [0] * 20 + [1] * 20
+    expected = quality.fit(texts, y).score(many)
+    monkeypatch.setattr(quality, "SHAPES_HELD", 50)
+    model = quality.fit(texts, y)
+    assert [model.score(t) for t in (many, texts[0], many)] == [expected, model.score(texts[0]), expected]

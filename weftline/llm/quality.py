@@ -29,6 +29,8 @@ from .toxicity import labelled, score_all
 
 PER_LABEL, WORDS, SHAPES, NONZERO = 2000, 64, 32, 4
 VOCABULARY, LEAST, AROUND, HIDDEN, CACHE = 20_000, 4, 2, 32, 300_000
+#: Shapes of unseen words that a worker holds from text to text.
+SHAPES_HELD = 20_000
 
 _SHAPE = {c: "A" for c in range(65, 91)} | {c: "a" for c in range(97, 123)} | {c: "0" for c in range(48, 58)}
 _RUNS = re.compile(r"(.)\1+")
@@ -64,8 +66,9 @@ class Model:
 
     def rows_of(self, tokens: list[str]) -> np.ndarray:
         """A row of ``vectors`` for each token; unseen tokens get the row of their shape, made on first sight."""
-        if not hasattr(self, "_known"):
+        if not hasattr(self, "_known") or len(self._shapes) >= SHAPES_HELD:  # forgotten between texts only: any text gets all its shapes
             self._known, self._shapes, self._table = dict(self.words), {}, [*self.vectors]
+            self._array = None
         known, out = self._known, np.empty(len(tokens), dtype=np.int64)
         for k, t in enumerate(tokens):
             row = known.get(t)
@@ -73,9 +76,6 @@ class Model:
                 s = shape(t)
                 row = self._shapes.get(s)
                 if row is None:
-                    if len(self._shapes) >= 20_000:
-                        self._known, self._shapes, self._table = dict(self.words), {}, [*self.vectors]
-                        return self.rows_of(tokens) if len(set(map(shape, tokens))) < 20_000 else self.rows_of(tokens[:1]).repeat(len(tokens))
                     row = self._shapes[s] = len(self._table)
                     self._table.append(np.concatenate((np.zeros(WORDS, np.float32), index_vector(s, SHAPES))))
                     self._array = None
