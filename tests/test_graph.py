@@ -18,7 +18,7 @@ def rows(frame):
     return sorted(tuple(str(v) for v in r) for r in frame.where(frame.notna(), None).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:

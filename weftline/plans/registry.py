@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.queries import endpoint, root_queries
 from ..operators import asof, edges, prune, reach, render
+from ..sources import code
 from ..sources import driver_graph as g
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,3 +288,94 @@ def stat_rows(spark: SparkSession, d: str) -> DataFrame:
     unused = edges.unused(n.select("id"), e).withColumn("unused", F.lit(True))
     rows = rows.join(unused, "id", "left").withColumn("unused", F.coalesce("unused", F.lit(False)))
     return rows.select("id", "out_degree", "in_degree", render.stat_label(F.lit("graph"), F.col("line"), F.col("name"), F.col("unused")).alias("label"))
+
+
+# Script sources. Every customer makes one program out of its row, and every page holds an inline script; the SQL states
+# what their tables and graphs must be without parsing anything.
+HAS_ELSE = "c_acctbal < 5000"
+
+
+def _programs(spark: SparkSession, d: str) -> DataFrame:
+    own = F.concat(F.lit("a"), F.col("c_custkey").cast("string"))
+    text = F.concat(
+        F.lit("let "), own, F.lit(" = 1;\nif ("), own, F.lit(") {\n  "), own, F.lit(" = 2;\n}"),
+        F.when(F.expr(HAS_ELSE), F.concat(F.lit(" else {\n  "), own, F.lit(" = 3;\n}"))).otherwise(""),
+        F.lit("\nconst total = "), own, F.lit(";\nfunction show(x) {\n  return x;\n}\nshow(total);\n"),
+    )
+    path = F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"), F.lit(".ts"))
+    return g.read(spark, d, "customer").select(path.alias("path"), text.alias("text"))
+
+
+def _program_ir(spark: SparkSession, d: str) -> DataFrame:
+    return code.analysed(_programs(spark, d))
+
+
+#: the programs again, with the offsets of what they declare
+PROGRAMS_SQL = f"""b AS (SELECT 'customer/' || c_custkey || '.ts' AS path, 'a' || c_custkey AS a, {HAS_ELSE} AS two FROM customer),
+t AS (SELECT *, 'let ' || a || ' = 1;' || chr(10) || 'if (' || a || ') {{' || chr(10) || '  ' || a || ' = 2;' || chr(10) || '}}' || CASE WHEN two THEN ' else {{' || chr(10) || '  ' || a || ' = 3;' || chr(10) || '}}' ELSE '' END
+  || chr(10) || 'const total = ' || a || ';' || chr(10) || 'function show(x) {{' || chr(10) || '  return x;' || chr(10) || '}}' || chr(10) || 'show(total);' || chr(10) AS text FROM b),
+p AS (SELECT *, 'n_scope_0_' || a || '_4' AS va, strpos(text, 'total =') - 1 AS at_total, strpos(text, 'show(x)') - 1 AS at_show, strpos(text, 'if (') - 1 AS at_if, strpos(text, 'return x') - 1 AS at_return,
+  strpos(text, 'show(total)') - 1 AS at_call, CASE WHEN two THEN 3 ELSE 2 END AS fn FROM t)"""
+
+
+@query(f"""WITH {PROGRAMS_SQL} SELECT path, a AS name, 'scope#0' AS scope, CASE WHEN two THEN 5 ELSE 4 END AS n_references, false AS unused FROM p
+UNION ALL SELECT path, 'total', 'scope#0', 2, false FROM p UNION ALL SELECT path, 'show', 'scope#0', 1, false FROM p UNION ALL SELECT path, 'x', 'scope#' || fn, 1, false FROM p""")
+def script_variables(spark: SparkSession, d: str) -> DataFrame:
+    return code.exploded(_program_ir(spark, d), "variables").select("path", "name", "scope", F.size("references").alias("n_references"), "unused")
+
+
+@query(f"""WITH {PROGRAMS_SQL} SELECT path, 'scope#0' AS id, 'module' AS type, NULL::VARCHAR AS upper, 0::BIGINT AS depth_if FROM p
+UNION ALL SELECT path, 'scope#' || k, 'block', 'scope#0', 1 FROM p, range(1, 3) r(k) WHERE k = 1 OR two UNION ALL SELECT path, 'scope#' || fn, 'function', 'scope#0', 0 FROM p""")
+def script_scopes(spark: SparkSession, d: str) -> DataFrame:
+    return code.exploded(_program_ir(spark, d), "scopes").select("path", "id", "type", "upper", F.col("depths.if").alias("depth_if"))
+
+
+@query(f"""WITH {PROGRAMS_SQL}, r AS (SELECT path, 4 AS pos, a AS name, 'write' AS how, true AS init FROM p UNION ALL SELECT path, at_if + 4, a, 'read', false FROM p
+UNION ALL SELECT path, strpos(text, a || ' = 2') - 1, a, 'write', false FROM p UNION ALL SELECT path, strpos(text, a || ' = 3') - 1, a, 'write', false FROM p WHERE two
+UNION ALL SELECT path, at_total, 'total', 'write', true FROM p UNION ALL SELECT path, at_total + 8, a, 'read', true FROM p UNION ALL SELECT path, at_return + 7, 'x', 'read', false FROM p
+UNION ALL SELECT path, at_call, 'show', 'read,call', false FROM p UNION ALL SELECT path, at_call + 5, 'total', 'read', false FROM p)
+SELECT path, pos, name, how, init, 'ref#' || (row_number() OVER (PARTITION BY path ORDER BY pos) - 1) AS id FROM r""")
+def script_references(spark: SparkSession, d: str) -> DataFrame:
+    rows = code.exploded(_program_ir(spark, d), "references")
+    return rows.select("path", F.col("at.offset").alias("pos"), "name", edges.label_of(F.col("read"), F.col("write"), F.col("call")).alias("how"), "init", "id")
+
+
+GRAPH_EDGES = f"""WITH {PROGRAMS_SQL}, e AS (SELECT path, va AS src, 'wr_ref_2' AS dst, 'set' AS label FROM p UNION ALL SELECT path, va, 'wr_ref_3', 'set' FROM p WHERE two
+UNION ALL SELECT path, va, 'if_test_scope_0_' || at_if, 'read' FROM p UNION ALL SELECT path, 'wr_ref_2', 'n_scope_0_total_' || at_total, 'read' FROM p
+UNION ALL SELECT path, CASE WHEN two THEN 'wr_ref_3' ELSE va END, 'n_scope_0_total_' || at_total, 'read' FROM p
+UNION ALL SELECT path, 'n_scope_' || fn || '_x_' || (at_show + 5), 'ret_use_ref_' || CASE WHEN two THEN 6 ELSE 5 END, 'read' FROM p
+UNION ALL SELECT path, 'n_scope_0_show_' || at_show, 'expr_stmt_' || at_call, 'read,call' FROM p UNION ALL SELECT path, 'n_scope_0_total_' || at_total, 'expr_stmt_' || at_call, 'read' FROM p)"""
+
+
+@query(f"{GRAPH_EDGES} SELECT path, src, dst, label FROM e")
+def script_edges(spark: SparkSession, d: str) -> DataFrame:
+    return code.graph_rows(code.graphs(_program_ir(spark, d)), "edges").select("path", "src", "dst", "label")
+
+
+@query(f"""{GRAPH_EDGES}, n AS (SELECT path, unnest([va, 'n_scope_0_total_' || at_total, 'n_scope_0_show_' || at_show, 'if_test_scope_0_' || at_if, 'wr_ref_2', 'n_scope_' || fn || '_x_' || (at_show + 5),
+  'ret_use_ref_' || CASE WHEN two THEN 6 ELSE 5 END, 'expr_stmt_' || at_call, CASE WHEN two THEN 'wr_ref_3' END]) AS id FROM p)
+SELECT path, id, (SELECT count(*) FROM e WHERE e.path = n.path AND e.src = n.id) AS n_out, (SELECT count(*) FROM e WHERE e.path = n.path AND e.dst = n.id) AS n_in FROM n WHERE id IS NOT NULL""")
+def script_degrees(spark: SparkSession, d: str) -> DataFrame:
+    graph = code.graphs(_program_ir(spark, d))
+    e = F.col("edges")
+    rows = graph.select("path", F.explode("nodes.id").alias("id"), e.alias("e"))
+    count = lambda end: F.size(F.filter("e", lambda x: x[end] == F.col("id"))).cast("long")
+    return rows.select("path", "id", count("src").alias("n_out"), count("dst").alias("n_in"))
+
+
+@query(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<script>([^<]*(?:<[^/][^<]*|</[^s][^<]*)*)</script>', 1)) AS script FROM pages)
+SELECT page_id, 't' AS name, false AS is_global, count(*) AS n FROM s GROUP BY page_id UNION ALL SELECT page_id, 'track', true, count(*) FROM s GROUP BY page_id""")
+def page_script_names(spark: SparkSession, d: str) -> DataFrame:
+    scripts = inline_scripts(spark, d).select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.col("script").alias("text"))
+    rows = code.exploded(code.analysed(scripts), "variables")
+    page = F.regexp_extract("path", r"page/(\d+)", 1).cast("long").alias("page_id")
+    is_global = F.exists("defs", lambda x: x["type"] == "ImplicitGlobalVariable").alias("is_global")
+    return rows.groupBy(page, "name", is_global).agg(F.count("*").alias("n"))
+
+
+def script_diagrams(spark: SparkSession, d: str) -> DataFrame:
+    """The diagram text of every program."""
+    return code.graphs(_program_ir(spark, d)).select("path", "diagram")
+
+
+QUERIES["script_diagrams"] = script_diagrams

@@ -5,25 +5,30 @@ A file that doesn't parse gives a row with ``error`` and empty tables, so that o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, _parse_datatype_string
 
 _SPAN = "struct<line: long, column: long, offset: long>"
 _DEPTHS = "struct<function: long, `if`: long, `for`: long, while: long, switch: long, `try-catch-finally`: long, block: long>"
 SCHEMA = f"""path string, language string, error string,
-scopes array<struct<id: string, type: string, strict: boolean, upper: string, children: array<string>, variable_scope: string, block_type: string, block: {_SPAN}, end: long, end_line: long,
+scopes array<struct<id: string, type: string, strict: boolean, upper: string, children: array<string>, variable_scope: string, block_type: string, parent_line: long, parent_end_line: long, block: {_SPAN}, end: long, end_line: long,
   variables: array<string>, references: array<string>, parent_type: string, key: string, parent_offset: long, chain_root_offset: long, case_test: string, argument_index: long,
-  falls_through: boolean, exits_function: boolean, depths: {_DEPTHS}, abrupt: array<struct<type: string, target: string, offset: long, `end`: long>>>>,
+  falls_through: boolean, exits_function: boolean, depths: {_DEPTHS}, abrupt: array<struct<type: string, target: string, line: long, offset: long, `end`: long>>>>,
 variables array<struct<id: string, name: string, scope: string, references: array<string>, defs: array<struct<type: string, name: {_SPAN}, node_type: string, node: {_SPAN}, parent_type: string,
   init_type: string, init_offset: long, init_end: long, declaration_kind: string, import_kind: string, imported_name: string, import_source: string>>, unused: boolean>>,
 references array<struct<id: string, name: string, at: {_SPAN}, scope: string, resolved: string, owners: array<string>, init: boolean, read: boolean, write: boolean, call: boolean, receiver: boolean,
-  predicate_type: string, predicate_offset: long, completion: string, completion_offset: long, statement_offset: long, statement_end: long>>,
+  predicate_type: string, predicate_offset: long, completion: string, completion_at: {_SPAN},
+  completion_end: long, completion_end_line: long, statement_at: {_SPAN}, statement_end_line: long, statement_head: string, jsx: boolean>>,
 diagnostics array<struct<kind: string, message: string, line: long, column: long, offset: long>>"""
+GRAPH_SCHEMA = """path string, nodes array<struct<ord: long, id: string, kind: string, name: string, line: long, end_line: long, parent: string, unused: boolean, declaration_kind: string, init_is_function: boolean,
+  imported_name: string, jsx: boolean>>,
+subgraphs array<struct<ord: long, id: string, kind: string, line: long, end_line: long, parent: string, owner: string, name: string, case_test: string, has_else: boolean>>,
+edges array<struct<ord: long, src: string, dst: string, label: string>>, diagram string"""
 TABLES = ("scopes", "variables", "references", "diagnostics")
 #: file extension to language: fixed values
 LANGUAGES = {"ts": "ts", "tsx": "tsx", "jsx": "jsx", "js": "js", "mjs": "js", "cjs": "js"}
@@ -42,7 +47,7 @@ def is_module(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, text) of whole files; a file of another extension is left out at the listing where it can be."""
+    """(path, text) of whole files of our languages. Files of no bytes give no row: Spark's listing leaves them out."""
     rows = spark.read.option("recursiveFileLookup", "true").text(list(paths), wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(language_of(F.col("path")).isNotNull())
 
@@ -52,9 +57,6 @@ def analysed(files: DataFrame) -> DataFrame:
     from .script.bind import analyse
     from .script.syntax import SyntaxFault
 
-    schema: StructType = _parse_datatype_string(SCHEMA)
-    target = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
-
     def one(path: str, language: str | None, module: bool | None, text: str | None) -> dict:
         row = {"path": path, "language": language, "error": None, **{t: [] for t in TABLES}}
         if language is None:
@@ -64,14 +66,36 @@ def analysed(files: DataFrame) -> DataFrame:
         except SyntaxFault as fault:
             return row | {"error": f"Parse error in {path}: {fault} at {fault.at}"}
 
+    own = files.select("path", language_of(F.col("path")).alias("language"), is_module(F.col("path")).alias("module"), "text")
+    return _mapped(own, lambda r: one(**r), SCHEMA)
+
+
+def _mapped(rows: DataFrame, one: Callable[[dict], dict], schema: str) -> DataFrame:
+    """``one`` over every row, in Arrow batches of few rows: a row may be a large file."""
+    target = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(schema)])
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a in range(0, batch.num_rows, 64):
-                rows = [one(**r) for r in batch.slice(a, 64).to_pylist()]
-                yield pa.RecordBatch.from_pylist(rows, schema=target)
+                yield pa.RecordBatch.from_pylist([one(r) for r in batch.slice(a, 64).to_pylist()], schema=target)
 
-    own = files.select("path", language_of(F.col("path")).alias("language"), is_module(F.col("path")).alias("module"), "text")
-    return own.mapInArrow(batches, schema)
+    return rows.mapInArrow(batches, schema)
+
+
+def graphs(ir: DataFrame) -> DataFrame:
+    """One row per analysed file: GRAPH_SCHEMA. A file that didn't parse has empty tables."""
+    from .script.flow import Graph, diagram
+
+    def one(r: dict) -> dict:
+        t = Graph(r).tables() if r["scopes"] else {"nodes": [], "subgraphs": [], "edges": []}
+        return {"path": r["path"], **t, "diagram": diagram(t)}
+
+    return _mapped(ir.select("path", "scopes", "variables", "references"), one, GRAPH_SCHEMA)
+
+
+def graph_rows(graph: DataFrame, table: str) -> DataFrame:
+    """nodes, subgraphs or edges as rows: path, ord and the fields."""
+    return graph.select("path", F.inline(table))
 
 
 def exploded(ir: DataFrame, table: str) -> DataFrame:

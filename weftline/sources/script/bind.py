@@ -454,6 +454,21 @@ def case_text(test: Node | None, text: str) -> str | None:
     return "<expr>"
 
 
+def head_text(n: Node, text: str) -> str:
+    """A short label of an expression: calls without arguments; what has no head is its source."""
+    if n.type in ("ParenthesizedExpression", "TSAsExpression", "TSNonNullExpression"):
+        return head_text(n.kids[0][1], text)
+    if n.type in ("Identifier", "PrivateIdentifier"):
+        return n.name
+    if n.type == "MemberExpression" and n.kind != "computed":
+        return f"{head_text(n.get('object'), text)}.{n.name}"
+    if n.type in ("CallExpression", "NewExpression"):
+        return ("new " if n.type == "NewExpression" else "") + head_text(n.get("callee"), text) + "()"
+    if n.type == "AwaitExpression":
+        return "await " + head_text(n.kids[0][1], text)
+    return text[n.start : n.end]
+
+
 def analyse(text: str, language: str, module: bool) -> dict:
     """The tables of one file as lists of dictionaries. Raises ``SyntaxFault`` where the text doesn't parse."""
     tree = parse(text, language)
@@ -467,7 +482,7 @@ def analyse(text: str, language: str, module: bool) -> dict:
     for s in b.order:
         for v in s.names.values():
             v.id = f"{s.id}:{v.name}@{off(v.at)}"
-    shown = [v for s in b.order for v in sorted(s.names.values(), key=lambda v: v.at)]
+    shown = [v for s in b.order for v in sorted(s.names.values(), key=lambda v: (not v.declared, v.at))]
     of_scope: dict[str, list[str]] = {}
     for v in shown:
         of_scope.setdefault(v.scope.id, []).append(v.id)
@@ -484,13 +499,13 @@ def analyse(text: str, language: str, module: bool) -> dict:
         holder = n.get("body") if s.type in ("function", "catch") else n
         scopes.append({
             "id": s.id, "type": s.type, "strict": b.root.type == "module", "upper": s.upper.id if s.upper else None, "children": [c.id for c in s.children], "variable_scope": s.var_scope.id,
-            "block_type": n.type, "block": start if s.upper is None else span(n), "end": off(n.end), "end_line": p.line(n.end),
+            "block_type": n.type, "parent_line": p.line(up.node.start) if up else None, "parent_end_line": p.line(up.node.end) if up else None, "block": start if s.upper is None else span(n), "end": off(n.end), "end_line": p.line(n.end),
             "variables": of_scope.get(s.id, []), "references": refs_of.get(s.id, []),
             "parent_type": up.node.type if up and s.type in ("block", "catch", "function") else None, "key": s.frame.key if up and s.type in ("block", "catch", "function") else None,
             "parent_offset": off(up.node.start) if up else None, "chain_root_offset": off(root.start) if root else None, "case_test": case_text(n.get("test"), text) if case else None,
             "argument_index": s.frame.index if up and s.type == "function" and s.frame.key == "arguments" else None,
             "falls_through": case and last is None, "exits_function": case and bool(last) and last <= {"return", "throw"}, "depths": s.depths,
-            "abrupt": [{"type": JUMPS[j.type], "target": j.get("label").name if j.get("label") else None, "offset": off(j.start), "end": off(j.end)} for j in (jumps(holder) if s.type != "for" and holder else [])],
+            "abrupt": [{"type": JUMPS[j.type], "target": j.get("label").name if j.get("label") else None, "line": p.line(j.start), "offset": off(j.start), "end": off(j.end)} for j in (jumps(holder) if s.type != "for" and holder else [])],
         })
     variables = []
     for v in shown:
@@ -510,8 +525,10 @@ def analyse(text: str, language: str, module: bool) -> dict:
         references.append({
             "id": r.id, "name": r.node.name, "at": span(r.node), "scope": r.scope.id, "resolved": r.variable.id or None, "owners": [v.id for v in b.owners(r)], "init": r.init, "read": r.read, "write": r.write,
             "call": up in ("CallExpression", "NewExpression") and key == "callee", "receiver": up == "MemberExpression" and key == "object",
-            "predicate_type": test.type if test else None, "predicate_offset": off(test.start) if test else None, "completion": way, "completion_offset": off(holder.start) if holder else None,
-            "statement_offset": off(stmt.start) if stmt else None, "statement_end": off(stmt.end) if stmt else None,
+            "predicate_type": test.type if test else None, "predicate_offset": off(test.start) if test else None, "completion": way,
+            "completion_at": span(holder) if holder else None, "completion_end": off(holder.end) if holder else None, "completion_end_line": p.line(holder.end) if holder else None,
+            "statement_at": span(stmt) if stmt else None, "statement_end_line": p.line(stmt.end) if stmt else None, "statement_head": head_text(stmt.kids[0][1], text) if stmt else None,
+            "jsx": r.frame is not None and key == "name" and up == "JSXOpeningElement",
         })
     warnings = [{"kind": "var-detected", "message": "var declaration detected; rendered as node only (no edges).", **span(n)} for n in b.vars_warned]
     return {"scopes": scopes, "variables": variables, "references": references, "diagnostics": warnings}
