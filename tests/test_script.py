@@ -2,10 +2,15 @@
 
 import pytest
 
+from weftline.functions import naming
+from weftline.functions.queries import root_queries
+from weftline.operators import files
 from weftline.sources import code
+from weftline.sources.script import plugins
 from weftline.sources.script.bind import analyse
 from weftline.sources.script.flow import Graph, diagram
 from weftline.sources.script.syntax import SyntaxFault, parse
+from weftline.streaming import ingest
 
 
 def ir(text, language="ts", module=True):
@@ -157,3 +162,59 @@ def test_null_text_and_unknown_extension(spark):
     rows = spark.createDataFrame([("a.ts", None), ("b", "x"), (None, "x")], "path string, text string")
     assert [(r["error"] is None, len(r["scopes"])) for r in code.analysed(rows).collect()] == [(True, 1), (False, 0), (False, 0)]
     assert code.graphs(code.analysed(rows.limit(0))).count() == 0
+
+
+HOOKED = """import { useCallback, useMemo } from "react";
+import { useState } from "react";
+function App() {
+  const [n, set] = useState(0);
+  const inc = useCallback(() => set(n), [n]);
+  const two = useMemo(() => n * 2, [n]);
+  return inc(two);
+}
+"""
+
+
+def test_react_plugin_takes_hooks_out():
+    t = plugins.react(ir(HOOKED))
+    assert {v["name"] for v in t["variables"] if v["scope"] == "scope#0"} == {"useState", "App"}
+    (inc,) = [v for v in t["variables"] if v["name"] == "inc"]
+    assert inc["defs"][0]["init_type"] == "ArrowFunctionExpression"
+    assert not [r for r in t["references"] if r["name"] in plugins.HOOKS]
+    assert [r["name"] for r in t["references"]].count("n") == 2  # the uses inside the functions; the lists of what they depend on are gone
+    plain = ir("import { useMemo } from 'other'; const a = useMemo(() => 1);")
+    assert plugins.react(plain) is plain
+
+
+def test_plugins_by_name(spark):
+    table = code.analysed(spark.createDataFrame([("a.tsx", HOOKED)], "path string, text string"))
+    assert "inc()" in code.graphs(code.with_plugins(table, ["react"])).first()["diagram"]
+    with pytest.raises(ValueError, match="nope"):
+        code.with_plugins(table, ["react", "nope"])
+
+
+def test_names_of_outputs():
+    found = [naming.token(q) for q in root_queries("3, 3-9, 3:x, 3-9:x, L4, L4-6, y")]
+    assert found == ["l3", "l3-9", "l3-x", "l3-9-x", "l4", "l4-6", "y"]
+    assert naming.basename(root_queries("a, 7"), None, 1, 2, "x/y.ts") == "a+l7-b1-c2"
+    assert naming.basename([], 1, 2, 3, "x/y.test.ts") == "y.test" and naming.radius(1, 2, 3) == "-a1-b2"
+    assert naming.query_flags("a", 2, 2, None) == "-r a -C 2" and naming.query_flags(None, None, None, "") == "-H"
+
+
+def test_bare_names_select_declarations(spark):
+    rows = spark.createDataFrame([("a.ts", "let x = 1;\nx = 2;\nconst y = x;"), ("b.ts", "const x = 1;")], "path string, text string")
+    nodes = files.keyed_nodes(code.graphs(code.analysed(rows)))
+    ids = lambda text: {r["id"] for r in files.roots(nodes, text).collect()}
+    assert ids("x") == {"a.ts\nn_scope_0_x_4", "b.ts\nn_scope_0_x_6"}
+    assert ids("2") == {"a.ts\nwr_ref_1"}
+
+
+def test_streamed_files_give_the_same_graphs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for k in range(2):  # the second run takes only what is new
+        (tmp_path / "in" / f"{k}.ts").write_text(f"const a{k} = 1;")
+        query = ingest.analyse_stream(spark, str(tmp_path / "in"), out, state)
+        assert query.awaitTermination(60)
+    found = code.graph_rows(spark.read.parquet(out), "nodes").select("name").collect()
+    assert sorted(r["name"] for r in found) == ["a0", "a1"]

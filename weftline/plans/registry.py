@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.queries import endpoint, root_queries
-from ..operators import asof, edges, prune, reach, render
+from ..operators import asof, edges, files, prune, reach, render
 from ..sources import code
 from ..sources import driver_graph as g
+from .lineage import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 S = g.STEP
@@ -373,6 +374,22 @@ def page_script_names(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(page, "name", is_global).agg(F.count("*").alias("n"))
 
 
+@query(f"""{GRAPH_EDGES}, r AS (SELECT path, 'n_scope_0_total_' || at_total AS id FROM p)
+SELECT path, id AS node FROM r UNION SELECT e.path, e.dst FROM e JOIN r ON e.path = r.path AND e.src = r.id UNION SELECT e.path, e.src FROM e JOIN r ON e.path = r.path AND e.dst = r.id""")
+def script_prune(spark: SparkSession, d: str) -> DataFrame:
+    graph = settled(code.graphs(_program_ir(spark, d)).drop("diagram"))
+    return files.pruned(files.keyed_nodes(graph), files.keyed_edges(graph), "total", 1, 1).select("path", "node")
+
+
+@query(f"""{GRAPH_EDGES}, n AS (SELECT path, va AS id, 1 AS line, a AS name FROM p UNION ALL SELECT path, 'wr_ref_2', 3, a FROM p UNION ALL SELECT path, 'wr_ref_3', 5, a FROM p WHERE two
+UNION ALL SELECT path, 'if_test_scope_0_' || at_if, 2, 'if ()' FROM p UNION ALL SELECT path, 'n_scope_0_total_' || at_total, CASE WHEN two THEN 7 ELSE 5 END, 'total' FROM p UNION ALL SELECT path, 'n_scope_0_show_' || at_show, CASE WHEN two THEN 8 ELSE 6 END, 'show' FROM p
+UNION ALL SELECT path, 'n_scope_' || fn || '_x_' || (at_show + 5), CASE WHEN two THEN 8 ELSE 6 END, 'x' FROM p UNION ALL SELECT path, 'ret_use_ref_' || CASE WHEN two THEN 6 ELSE 5 END, CASE WHEN two THEN 9 ELSE 7 END, 'x' FROM p
+UNION ALL SELECT path, 'expr_stmt_' || at_call, CASE WHEN two THEN 11 ELSE 9 END, 'show()' FROM p)
+SELECT path, line, path || ':' || line || ' ' || name AS label, (SELECT count(*) FROM e WHERE e.path = n.path AND e.src = n.id) AS out_degree, (SELECT count(*) FROM e WHERE e.path = n.path AND e.dst = n.id) AS in_degree FROM n""")
+def script_stats(spark: SparkSession, d: str) -> DataFrame:
+    return files.stats(code.graphs(_program_ir(spark, d)))
+
+
 def script_diagrams(spark: SparkSession, d: str) -> DataFrame:
     """The diagram text of every program."""
     return code.graphs(_program_ir(spark, d)).select("path", "diagram")

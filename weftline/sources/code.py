@@ -82,6 +82,20 @@ def _mapped(rows: DataFrame, one: Callable[[dict], dict], schema: str) -> DataFr
     return rows.mapInArrow(batches, schema)
 
 
+def with_plugins(ir: DataFrame, names: list[str]) -> DataFrame:
+    """The analysed files after the named rewrites, in their order. An unknown name is an error here, not in a task."""
+    from .script.plugins import named
+
+    rewrites = named(names)
+
+    def one(r: dict) -> dict:
+        for rewrite in rewrites:
+            r = rewrite(r)
+        return r
+
+    return _mapped(ir, one, SCHEMA) if rewrites else ir
+
+
 def graphs(ir: DataFrame) -> DataFrame:
     """One row per analysed file: GRAPH_SCHEMA. A file that didn't parse has empty tables."""
     from .script.flow import Graph, diagram
