@@ -160,8 +160,15 @@ def test_files_to_tables(spark, tmp_path):
 
 def test_null_text_and_unknown_extension(spark):
     rows = spark.createDataFrame([("a.ts", None), ("b", "x"), (None, "x")], "path string, text string")
-    assert [(r["error"] is None, len(r["scopes"])) for r in code.analysed(rows).collect()] == [(True, 1), (False, 0), (False, 0)]
-    assert code.graphs(code.analysed(rows.limit(0))).count() == 0
+    found = {r["path"]: (r["error"] is None, len(r["scopes"])) for r in code.analysed(rows).collect()}
+    assert found == {"a.ts": (True, 1), "b": (False, 0), None: (False, 0)}
+    assert code.graphs(code.analysed(rows.limit(0))).count() == 0 == code.file_graphs(rows.limit(0)).count()
+
+
+def test_one_pass_gives_the_same_graphs(spark):
+    rows = spark.createDataFrame([("a.tsx", HOOKED), ("b.ts", "let (")], "path string, text string")
+    steps = code.graphs(code.with_plugins(code.analysed(rows), ["react"])).orderBy("path").collect()
+    assert code.file_graphs(rows, ["react"]).orderBy("path").collect() == steps
 
 
 HOOKED = """import { useCallback, useMemo } from "react";

@@ -350,14 +350,14 @@ UNION ALL SELECT path, 'n_scope_0_show_' || at_show, 'expr_stmt_' || at_call, 'r
 
 @query(f"{GRAPH_EDGES} SELECT path, src, dst, label FROM e")
 def script_edges(spark: SparkSession, d: str) -> DataFrame:
-    return code.graph_rows(code.graphs(_program_ir(spark, d)), "edges").select("path", "src", "dst", "label")
+    return code.graph_rows(code.file_graphs(_programs(spark, d)), "edges").select("path", "src", "dst", "label")
 
 
 @query(f"""{GRAPH_EDGES}, n AS (SELECT path, unnest([va, 'n_scope_0_total_' || at_total, 'n_scope_0_show_' || at_show, 'if_test_scope_0_' || at_if, 'wr_ref_2', 'n_scope_' || fn || '_x_' || (at_show + 5),
   'ret_use_ref_' || CASE WHEN two THEN 6 ELSE 5 END, 'expr_stmt_' || at_call, CASE WHEN two THEN 'wr_ref_3' END]) AS id FROM p)
 SELECT path, id, (SELECT count(*) FROM e WHERE e.path = n.path AND e.src = n.id) AS n_out, (SELECT count(*) FROM e WHERE e.path = n.path AND e.dst = n.id) AS n_in FROM n WHERE id IS NOT NULL""")
 def script_degrees(spark: SparkSession, d: str) -> DataFrame:
-    graph = code.graphs(_program_ir(spark, d))
+    graph = code.file_graphs(_programs(spark, d))
     e = F.col("edges")
     rows = graph.select("path", F.explode("nodes.id").alias("id"), e.alias("e"))
     count = lambda end: F.size(F.filter("e", lambda x: x[end] == F.col("id"))).cast("long")
@@ -377,7 +377,7 @@ def page_script_names(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{GRAPH_EDGES}, r AS (SELECT path, 'n_scope_0_total_' || at_total AS id FROM p)
 SELECT path, id AS node FROM r UNION SELECT e.path, e.dst FROM e JOIN r ON e.path = r.path AND e.src = r.id UNION SELECT e.path, e.src FROM e JOIN r ON e.path = r.path AND e.dst = r.id""")
 def script_prune(spark: SparkSession, d: str) -> DataFrame:
-    graph = settled(code.graphs(_program_ir(spark, d)).drop("diagram"))
+    graph = settled(code.file_graphs(_programs(spark, d)).drop("diagram"))
     return files.pruned(files.keyed_nodes(graph), files.keyed_edges(graph), "total", 1, 1).select("path", "node")
 
 
@@ -387,12 +387,12 @@ UNION ALL SELECT path, 'n_scope_' || fn || '_x_' || (at_show + 5), CASE WHEN two
 UNION ALL SELECT path, 'expr_stmt_' || at_call, CASE WHEN two THEN 11 ELSE 9 END, 'show()' FROM p)
 SELECT path, line, path || ':' || line || ' ' || name AS label, (SELECT count(*) FROM e WHERE e.path = n.path AND e.src = n.id) AS out_degree, (SELECT count(*) FROM e WHERE e.path = n.path AND e.dst = n.id) AS in_degree FROM n""")
 def script_stats(spark: SparkSession, d: str) -> DataFrame:
-    return files.stats(code.graphs(_program_ir(spark, d)))
+    return files.stats(code.file_graphs(_programs(spark, d)))
 
 
 def script_diagrams(spark: SparkSession, d: str) -> DataFrame:
     """The diagram text of every program."""
-    return code.graphs(_program_ir(spark, d)).select("path", "diagram")
+    return code.file_graphs(_programs(spark, d)).select("path", "diagram")
 
 
 QUERIES["script_diagrams"] = script_diagrams

@@ -52,22 +52,56 @@ def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(language_of(F.col("path")).isNotNull())
 
 
-def analysed(files: DataFrame) -> DataFrame:
+def analysed(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per file of (path, text): SCHEMA. A null text is an empty file; an unknown extension is an error."""
+    return _mapped(_spread(files, partitions), _analyse, SCHEMA)
+
+
+def file_graphs(files: DataFrame, plugins: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """``graphs(with_plugins(analysed(files), plugins))`` in one pass: the tables in between stay within the task."""
+    from .script.plugins import named
+
+    rewrites = named(plugins or [])
+
+    def one(r: dict) -> dict:
+        r = _analyse(r)
+        for rewrite in rewrites:
+            r = rewrite(r)
+        return _graph(r)
+
+    return _mapped(_spread(files, partitions), one, GRAPH_SCHEMA)
+
+
+def _spread(files: DataFrame, partitions: int | None) -> DataFrame:
+    """The files by the hash of their path over ``partitions`` tasks (spark.sql.shuffle.partitions if not given).
+
+    Parsing costs seconds a megabyte, so that the splits of a scan, sized for reading, are far too large for it and a few
+    small files would share one task; moving the text once is cheap beside it. A stream keeps the partitions of its batch."""
+    own = files.select("path", language_of(F.col("path")).alias("language"), is_module(F.col("path")).alias("module"), "text")
+    if files.isStreaming:
+        return own
+    return own.repartition(partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
+def _analyse(r: dict) -> dict:
     from .script.bind import analyse
     from .script.syntax import SyntaxFault
 
-    def one(path: str, language: str | None, module: bool | None, text: str | None) -> dict:
-        row = {"path": path, "language": language, "error": None, **{t: [] for t in TABLES}}
-        if language is None:
-            return row | {"error": f"Unsupported extension: {path}"}
-        try:
-            return row | analyse(text or "", language, bool(module))
-        except SyntaxFault as fault:
-            return row | {"error": f"Parse error in {path}: {fault} at {fault.at}"}
+    path, language = r["path"], r["language"]
+    row = {"path": path, "language": language, "error": None, **{t: [] for t in TABLES}}
+    if language is None:
+        return row | {"error": f"Unsupported extension: {path}"}
+    try:
+        return row | analyse(r["text"] or "", language, bool(r["module"]))
+    except SyntaxFault as fault:
+        return row | {"error": f"Parse error in {path}: {fault} at {fault.at}"}
 
-    own = files.select("path", language_of(F.col("path")).alias("language"), is_module(F.col("path")).alias("module"), "text")
-    return _mapped(own, lambda r: one(**r), SCHEMA)
+
+def _graph(r: dict) -> dict:
+    from .script.flow import Graph, diagram
+
+    t = Graph(r).tables() if r["scopes"] else {"nodes": [], "subgraphs": [], "edges": []}
+    return {"path": r["path"], **t, "diagram": diagram(t)}
 
 
 def _mapped(rows: DataFrame, one: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -98,13 +132,7 @@ def with_plugins(ir: DataFrame, names: list[str]) -> DataFrame:
 
 def graphs(ir: DataFrame) -> DataFrame:
     """One row per analysed file: GRAPH_SCHEMA. A file that didn't parse has empty tables."""
-    from .script.flow import Graph, diagram
-
-    def one(r: dict) -> dict:
-        t = Graph(r).tables() if r["scopes"] else {"nodes": [], "subgraphs": [], "edges": []}
-        return {"path": r["path"], **t, "diagram": diagram(t)}
-
-    return _mapped(ir.select("path", "scopes", "variables", "references"), one, GRAPH_SCHEMA)
+    return _mapped(ir.select("path", "scopes", "variables", "references"), _graph, GRAPH_SCHEMA)
 
 
 def graph_rows(graph: DataFrame, table: str) -> DataFrame:

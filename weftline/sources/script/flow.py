@@ -70,6 +70,7 @@ class Graph:
             if r["write"] and not r["init"] and r["resolved"] in self.variables:
                 self.writes.setdefault(r["resolved"], []).append(r)
         self.at = {v: [r["at"]["offset"] for r in w] for v, w in self.writes.items()}
+        self.do_bodies = {s["parent_offset"]: s for s in self.scopes.values() if s["parent_type"] == "DoWhileStatement" and s["key"] == "body"}
         self.owner = self.function_owners()
         self.nodes: dict[str, dict] = {}
         self.subgraphs: dict[str, dict] = {}
@@ -288,7 +289,7 @@ class Graph:
 
     def late_anchor(self, r: dict) -> str | None:
         """A do-while test stands last in its body."""
-        body = next((s for s in self.scopes.values() if s["parent_type"] == "DoWhileStatement" and s["parent_offset"] == r["predicate_offset"] and s["key"] == "body"), None)
+        body = self.do_bodies.get(r["predicate_offset"])
         if body is None:
             return None
         self.anchor("DoWhileStatement", body["upper"], body["parent_offset"], body["parent_end_line"], self.home(body["id"]))

@@ -17,6 +17,6 @@ def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
 
 def analyse_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Write the graphs of arriving files as Parquet. The file sink commits each batch once, also after a restart."""
-    rows = code.graphs(code.analysed(file_stream(spark, folder)))
+    rows = code.file_graphs(file_stream(spark, folder))
     writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
