@@ -225,3 +225,26 @@ def test_streamed_files_give_the_same_graphs(spark, tmp_path):
         assert query.awaitTermination(60)
     found = code.graph_rows(spark.read.parquet(out), "nodes").select("name").collect()
     assert sorted(r["name"] for r in found) == ["a0", "a1"]
+
+
+@pytest.mark.parametrize(
+    ("text", "proxy", "found"),
+    [
+        ("const b = a.map((v) => v);", "call_proxy_10", [("call_proxy_10", "read", "n_scope_0_b_6"), ("n_scope_0_a_10", "read", "call_proxy_10")]),
+        ("let b; b = a.map((v) => v);", "call_proxy_11", [("call_proxy_11", "read", "wr_ref_0"), ("n_scope_0_a_11", "read", "call_proxy_11")]),
+        ("function f(a) { return a.map((v) => v) }", "call_proxy_16", [("n_scope_1_a_11", "read", "call_proxy_16")]),
+        ("a.map((v) => v);", "expr_stmt_0", [("n_scope_0_a_0", "read", "expr_stmt_0")]),
+        ("const b = f(a.map((v) => { const w = v; return w }));", "call_proxy_10", [("call_proxy_10", "read", "n_scope_0_b_6"), ("n_scope_1_v_19", "read", "n_scope_1_w_33")]),
+    ],
+)
+def test_calls_around_function_arguments_stand_for_their_value(text, proxy, found):
+    t = Graph(ir(text)).tables()
+    held = {s["id"]: s for s in t["subgraphs"]}
+    inner = next(s for s in t["subgraphs"] if s["argument"] is not None)
+    assert inner["parent"] == proxy and inner["name"] == "a.map" and held[proxy]["kind"] == "call-proxy"
+    assert set(found) <= {(e["src"], e["label"], e["dst"]) for e in t["edges"]}
+
+
+def test_values_that_nothing_takes_have_no_proxy():
+    t = Graph(ir("const {b} = a.map((v) => v); function f() { class K { x = a.map((w) => w) } }")).tables()
+    assert [s["kind"] for s in t["subgraphs"] if s["kind"] == "call-proxy"] == []

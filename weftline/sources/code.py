@@ -17,7 +17,8 @@ _SPAN = "struct<line: long, column: long, offset: long>"
 _DEPTHS = "struct<function: long, `if`: long, `for`: long, while: long, switch: long, `try-catch-finally`: long, block: long>"
 SCHEMA = f"""path string, language string, error string,
 scopes array<struct<id: string, type: string, strict: boolean, upper: string, children: array<string>, variable_scope: string, block_type: string, parent_line: long, parent_end_line: long, block: {_SPAN}, end: long, end_line: long,
-  variables: array<string>, references: array<string>, parent_type: string, key: string, parent_offset: long, chain_root_offset: long, case_test: string, argument_index: long,
+  variables: array<string>, references: array<string>, parent_type: string, key: string, parent_offset: long, chain_root_offset: long, case_test: string,
+  callback: struct<callee: string, index: long, kind: string, host_offset: long, value: {_SPAN}, `end`: long, end_line: long, head: string, target_offset: long>,
   falls_through: boolean, exits_function: boolean, depths: {_DEPTHS}, abrupt: array<struct<type: string, target: string, line: long, offset: long, `end`: long>>>>,
 variables array<struct<id: string, name: string, scope: string, references: array<string>, defs: array<struct<type: string, name: {_SPAN}, node_type: string, node: {_SPAN}, parent_type: string,
   init_type: string, init_offset: long, init_end: long, declaration_kind: string, import_kind: string, imported_name: string, import_source: string>>, unused: boolean>>,
@@ -27,7 +28,7 @@ references array<struct<id: string, name: string, at: {_SPAN}, scope: string, re
 diagnostics array<struct<kind: string, message: string, line: long, column: long, offset: long>>"""
 GRAPH_SCHEMA = """path string, nodes array<struct<ord: long, id: string, kind: string, name: string, line: long, end_line: long, parent: string, unused: boolean, declaration_kind: string, init_is_function: boolean,
   imported_name: string, jsx: boolean>>,
-subgraphs array<struct<ord: long, id: string, kind: string, line: long, end_line: long, parent: string, owner: string, name: string, case_test: string, has_else: boolean>>,
+subgraphs array<struct<ord: long, id: string, kind: string, line: long, end_line: long, parent: string, owner: string, name: string, case_test: string, has_else: boolean, argument: long>>,
 edges array<struct<ord: long, src: string, dst: string, label: string>>, diagram string"""
 TABLES = ("scopes", "variables", "references", "diagnostics")
 #: file extension to language: fixed values

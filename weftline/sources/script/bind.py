@@ -469,6 +469,30 @@ def head_text(n: Node, text: str) -> str:
     return text[n.start : n.end]
 
 
+def callback(f: Frame) -> tuple[str, Node, Node, Node | None] | None:
+    """What takes the value of the call that a function is an argument of: (kind, host, value, target); None where nothing does.
+
+    Of a ternary value, the part with the call counts. Functions and classes end the search."""
+    call = f.up
+    g = call
+    while g and g.up:
+        up = g.up.node
+        kind = (
+            "statement" if up.type == "ExpressionStatement" else "declarator" if up.type == "VariableDeclarator" and g.key == "init"
+            else "return" if up.type == "ReturnStatement" or up.type == "ArrowFunctionExpression" and g.key == "body" and up.kind == "expression"
+            else "assignment" if up.type == "AssignmentExpression" and g.key == "right" else None
+        )
+        if kind:
+            value = g.node
+            while value.type in ("ConditionalExpression", "ParenthesizedExpression"):
+                value = next(k for _, k in value.kids if k.start <= call.node.start and call.node.end <= k.end)
+            return kind, up if up.type == "ReturnStatement" else g.node, value, up if kind == "statement" else up.get("left" if kind == "assignment" else "id")
+        if up.type in FUNCTIONS | CLASSES:
+            break
+        g = g.up
+    return None
+
+
 def analyse(text: str, language: str, module: bool) -> dict:
     """The tables of one file as lists of dictionaries. Raises ``SyntaxFault`` where the text doesn't parse."""
     tree = parse(text, language)
@@ -478,6 +502,18 @@ def analyse(text: str, language: str, module: bool) -> dict:
     def span(n: Node) -> dict:
         return {"line": p.line(n.start), "column": p.column(n.start), "offset": off(n.start)}
 
+    def taken_by(s: Scope) -> dict | None:
+        f = s.frame
+        if s.type != "function" or f.key != "arguments" or f.up.node.type not in ("CallExpression", "NewExpression"):
+            return None
+        out = {"callee": head_text(f.up.node.get("callee"), text), "index": f.index, "kind": None, "host_offset": None, "value": None, "end": None, "end_line": None, "head": None, "target_offset": None}
+        host = callback(f)
+        if host:
+            kind, holder, value, target = host
+            plain_target = target is not None and (kind == "statement" or target.type == "Identifier")
+            out |= {"kind": kind, "host_offset": off(holder.start), "value": span(value), "end": off(value.end), "end_line": p.line(value.end), "head": head_text(value, text), "target_offset": off(target.start) if plain_target else None}
+        return out
+
     start = {"line": p.line(n.start), "column": p.column(n.start), "offset": off(n.start)} if (n := tree.kids[0][1] if tree.kids and language in ("ts", "tsx") else tree) else None
     for s in b.order:
         for v in s.names.values():
@@ -503,7 +539,7 @@ def analyse(text: str, language: str, module: bool) -> dict:
             "variables": of_scope.get(s.id, []), "references": refs_of.get(s.id, []),
             "parent_type": up.node.type if up and s.type in ("block", "catch", "function") else None, "key": s.frame.key if up and s.type in ("block", "catch", "function") else None,
             "parent_offset": off(up.node.start) if up else None, "chain_root_offset": off(root.start) if root else None, "case_test": case_text(n.get("test"), text) if case else None,
-            "argument_index": s.frame.index if up and s.type == "function" and s.frame.key == "arguments" else None,
+            "callback": taken_by(s),
             "falls_through": case and last is None, "exits_function": case and bool(last) and last <= {"return", "throw"}, "depths": s.depths,
             "abrupt": [{"type": JUMPS[j.type], "target": j.get("label").name if j.get("label") else None, "line": p.line(j.start), "offset": off(j.start), "end": off(j.end)} for j in (jumps(holder) if s.type != "for" and holder else [])],
         })

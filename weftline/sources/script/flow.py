@@ -71,11 +71,16 @@ class Graph:
                 self.writes.setdefault(r["resolved"], []).append(r)
         self.at = {v: [r["at"]["offset"] for r in w] for v, w in self.writes.items()}
         self.do_bodies = {s["parent_offset"]: s for s in self.scopes.values() if s["parent_type"] == "DoWhileStatement" and s["key"] == "body"}
+        firsts = ((v["id"], v["defs"][0]) for v in self.variables.values())
+        self.declared_at = {d["name"]["offset"]: i for i, d in firsts if d["type"] == "Variable" and d["declaration_kind"] != "var"}
+        self.write_at = {r["at"]["offset"]: r for w in self.writes.values() for r in w}
         self.owner = self.function_owners()
         self.nodes: dict[str, dict] = {}
         self.subgraphs: dict[str, dict] = {}
         self.edges: dict[tuple[str, str, str], None] = {}
         self.anchors: dict[tuple[str, int], str] = {}
+        self.proxies: dict[str, list[tuple[int, int, str, str | None]]] = {"owner": [], "return": []}
+        self.called = {r["statement_at"]["offset"] for r in self.references if r["statement_at"] and self.to_statement(r)}
         self.place_scopes()
         self.set_edges()
         self.read_edges()
@@ -98,7 +103,7 @@ class Graph:
         return id
 
     def subgraph(self, id: str, kind: str, line: int, end_line: int, parent: str | None, **more) -> str:
-        row = {"id": id, "kind": kind, "line": line, "end_line": end_line, "parent": parent, "owner": None, "name": None, "case_test": None, "has_else": False}
+        row = {"id": id, "kind": kind, "line": line, "end_line": end_line, "parent": parent, "owner": None, "name": None, "case_test": None, "has_else": False, "argument": None}
         self.subgraphs.setdefault(id, row | more)
         return id
 
@@ -148,7 +153,10 @@ class Graph:
                     if ternary:
                         self.anchor("ConditionalExpression", s["upper"], first["parent_offset"], first["parent_line"], name)
                 parent = name
-        line, owner, name = s["block"]["line"], None, None
+        line, owner, name, c = s["block"]["line"], None, None, s["callback"]
+        if c:
+            name = c["callee"]
+            parent = self.proxy(c, parent) or parent
         if kind == "function" and s["id"] in self.owner:
             v = self.owner[s["id"]]
             owner, name, line = "n_" + plain(v["id"]), v["name"], v["defs"][0]["name"]["line"]
@@ -157,7 +165,45 @@ class Graph:
             name = held["name"] if held else None
         if kind == "if":
             line = s["parent_line"]
-        self.subgraph(self.home(s["id"]), kind, line, s["end_line"], parent, owner=owner, name=name, case_test=s["case_test"])
+        self.subgraph(self.home(s["id"]), kind, line, s["end_line"], parent, owner=owner, name=name, case_test=s["case_test"], argument=c["index"] if c else None)
+
+    def to_statement(self, r: dict) -> bool:
+        """Whether a read ends in the node of its statement."""
+        v = self.variables.get(r["resolved"])
+        return bool(v and v["defs"][0]["declaration_kind"] != "var" and not r["write"] and not r["owners"] and not r["predicate_type"] and r["completion"] != "return")
+
+    def proxy(self, c: dict, parent: str | None) -> str | None:
+        """The subgraph of a call around its function arguments: it stands for the value that the call gives."""
+        kind, value, target = c["kind"], c["value"], None
+        if kind == "statement":
+            if c["target_offset"] not in self.called:
+                return None
+            return self.subgraph(f"expr_stmt_{c['target_offset']}", "call-proxy", value["line"], c["end_line"], parent, name=c["head"])
+        if kind in ("declarator", "assignment"):
+            if c["target_offset"] is None:
+                return None
+            if kind == "declarator" and c["target_offset"] in self.declared_at:
+                target = "n_" + plain(self.declared_at[c["target_offset"]])
+            if kind == "assignment" and c["target_offset"] in self.write_at:
+                target = "wr_" + plain(self.write_at[c["target_offset"]]["id"])
+            if target is None:
+                return None
+        elif kind != "return":
+            return None
+        id = self.subgraph(f"call_proxy_{c['host_offset']}", "call-proxy", value["line"], c["end_line"], parent, name=c["head"])
+        span = (value["offset"], c["end"], id, target)
+        held = self.proxies["return" if kind == "return" else "owner"]
+        if span not in held:
+            held.append(span)
+        if target:
+            self.edge(id, target, "read")
+        return id
+
+    def proxy_of(self, kind: str, r: dict, target: str | None = None) -> str | None:
+        """The innermost proxy for ``target`` whose call a reference lies in."""
+        at = r["at"]["offset"]
+        found = [(b - a, id) for a, b, id, t in self.proxies[kind] if a <= at < b and t == target]
+        return min(found)[1] if found else None
 
     def variable_node(self, v: dict, parent: str | None) -> None:
         d = v["defs"][0]
@@ -281,7 +327,7 @@ class Graph:
                 for o, target in zip((o for o in r["owners"] if o in self.variables and self.variables[o]["defs"][0]["declaration_kind"] != "var"), owners, strict=True):
                     if o != v:
                         for src in self.origins(v, r):
-                            self.edge(src, target, label)
+                            self.edge(src, self.proxy_of("owner", r, target) or target, label)
             else:
                 sink = self.sink(r)
                 for o in self.origins(v, r):
@@ -298,9 +344,14 @@ class Graph:
     def sink(self, r: dict) -> str:
         way, at = r["completion"], r["completion_at"]
         if way == "return":
+            proxy = self.proxy_of("return", r)
+            if proxy and self.subgraphs[proxy]["parent"] == self.home(r["scope"]):
+                return proxy
             return self.use_node(r, "return", "ret", "ReturnArgumentReference")
         if r["statement_at"]:
             s = r["statement_at"]
+            if f"expr_stmt_{s['offset']}" in self.subgraphs:
+                return f"expr_stmt_{s['offset']}"
             return self.node(f"expr_stmt_{s['offset']}", "SyntheticExpressionStatement", r["statement_head"], s["line"], self.home(r["scope"]), r["statement_end_line"])
         if way == "throw" and at:
             return self.use_node(r, "throw", "throw", "ThrowArgumentReference")
@@ -308,7 +359,7 @@ class Graph:
 
     def use_node(self, r: dict, kind: str, short: str, node_kind: str) -> str:
         at = r["completion_at"]
-        holder = next((i for i in self.chain[r["scope"]] if self.scopes[i]["type"] == "function"), r["scope"])
+        holder = next((i for i in self.chain[r["scope"]] if i in self.owner), r["scope"])
         host = self.owner[holder]["id"] if holder in self.owner else holder
         box = self.subgraph(f"s_{kind}_{plain(host)}_{at['offset']}_{r['completion_end']}", kind, at["line"], r["completion_end_line"], self.home(r["scope"]))
         return self.node(f"{short}_use_{plain(r['id'])}", node_kind, r["name"], r["at"]["line"], box, jsx=r["jsx"])
@@ -365,6 +416,10 @@ def node_text(n: dict) -> str:
 
 def subgraph_text(s: dict) -> str:
     kind = s["kind"]
+    if kind == "call-proxy":
+        return f"{escape(s['name'])}<br/>{lines_of(s)}"
+    if kind == "function" and s["argument"] is not None and not s["owner"]:
+        return f"{escape(s['name'])}(args[{s['argument']}])<br/>{lines_of(s)}"
     if kind == "function":
         return f"{escape(s['name'])}()<br/>{lines_of(s)}" if s["owner"] else f"(anonymous)<br/>{lines_of(s)}"
     if kind == "class":
