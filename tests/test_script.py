@@ -1,14 +1,17 @@
 """Script sources on small texts whose tables are known by hand."""
 
+import json
+
 import pytest
 
+from weftline.__main__ import main
 from weftline.functions import naming
 from weftline.functions.queries import root_queries
 from weftline.operators import files
 from weftline.sources import code
 from weftline.sources.script import plugins
 from weftline.sources.script.bind import analyse
-from weftline.sources.script.flow import Graph, diagram
+from weftline.sources.script.flow import Graph, around, diagram, part, tree
 from weftline.sources.script.syntax import SyntaxFault, parse
 from weftline.streaming import ingest
 
@@ -248,3 +251,28 @@ def test_calls_around_function_arguments_stand_for_their_value(text, proxy, foun
 def test_values_that_nothing_takes_have_no_proxy():
     t = Graph(ir("const {b} = a.map((v) => v); function f() { class K { x = a.map((w) => w) } }")).tables()
     assert [s["kind"] for s in t["subgraphs"] if s["kind"] == "call-proxy"] == []
+
+
+def test_command_line(tmp_path, capsys):
+    source = tmp_path / "a.ts"
+    source.write_text("const a = 1;\nconst b = a;\nconst c = b;\nconst d = c;\nvar e;\n")
+    run = lambda *args: (main([*args, str(source)]), capsys.readouterr())
+    code_, out = run("-f", "stats", "-r", "b", "-A", "1")
+    assert code_ == 0 and out.out.splitlines() == [f"1\t0\t{source}:2 b", f"0\t1\t{source}:3 c", "1\t1\t2 total"] and "L5:0" in out.err
+    assert [e["src"] for e in json.loads(run("-f", "json")[1].out)["edges"]] == ["n_scope_0_a_6", "n_scope_0_b_19", "n_scope_0_c_32"]
+    assert run("-r", "c", "-C", "0")[1].out == 'flowchart RL\n  n_scope_0_c_32["c<br/>L3"]\n'
+    assert "## Query\n\n```\n-r b -C 10\n```" in run("-f", "markdown", "-r", "b")[1].out
+    assert run("--out-dir", str(tmp_path / "x"), "-r", "b", "-B", "2")[0] == 0 and (tmp_path / "x" / "b-b2.mmd").exists()
+    assert json.loads(run("-f", "ir", "-r", "b")[1].out)["variables"][0]["name"] == "a"
+    assert main([str(tmp_path / "none.ts")]) == 1 and main([str(tmp_path / "a.txt")]) == 1
+    for wrong in (["-r", "", str(source)], [], ["--plugin", "none", str(source)], ["-A", "-1", str(source)], ["-o", "x", "--out-dir", "y", str(source)]):
+        with pytest.raises(SystemExit) as stop:
+            main(wrong)
+        assert stop.value.code == 2
+
+
+def test_a_part_keeps_the_subgraphs_of_its_nodes():
+    t = Graph(ir("function f(x) { return x } function g() {}")).tables()
+    own = part(t, around(t, {"n_scope_1_x_11"}, 1, 0))
+    assert [s["kind"] for s in own["subgraphs"]] == ["function", "return"] and [e["label"] for e in own["edges"]] == ["read"]
+    assert tree(own)[0]["elements"][1]["elements"][0]["kind"] == "ReturnArgumentReference"

@@ -461,3 +461,75 @@ def diagram(t: dict) -> str:
     out += ["  " + node_text(n) for n in nodes.get(None, []) if n["kind"] in LATE]
     out += [line for late, line in text if late]
     return "\n".join(out) + "\n"
+
+
+# part of a graph, other texts -----------------------------------------------------------------------------------
+def around(t: dict, roots: set[str], descendants: int, ancestors: int) -> set[str]:
+    """The ids within so many edges after or before the roots."""
+    kept = set(roots)
+    for near, far, most in (("src", "dst", descendants), ("dst", "src", ancestors)):
+        links: dict[str, list[str]] = {}
+        for e in t["edges"]:
+            links.setdefault(e[near], []).append(e[far])
+        level, seen = roots, set(roots)
+        for _ in range(most):
+            level = {x for i in level for x in links.get(i, ())} - seen
+            if not level:
+                break
+            seen |= level
+        kept |= seen
+    return kept
+
+
+def part(t: dict, kept: set[str]) -> dict:
+    """The tables of the kept nodes. A subgraph stays where a node in it stays, even if it isn't reached itself."""
+    nodes = [n for n in t["nodes"] if n["id"] in kept]
+    up = {s["id"]: s["parent"] for s in t["subgraphs"]}
+    held: set[str] = set()
+    for n in nodes:
+        at = n["parent"]
+        while at and at not in held:
+            held.add(at)
+            at = up.get(at)
+    known = held | {n["id"] for n in nodes}
+    ends = kept & known
+    return {"nodes": nodes, "subgraphs": [s for s in t["subgraphs"] if s["id"] in held], "edges": [e for e in t["edges"] if e["src"] in ends and e["dst"] in ends]}
+
+
+def tree(t: dict) -> list[dict]:
+    """The nodes and subgraphs as nested elements: nodes before subgraphs, each in its order."""
+    inside: dict[str | None, list[dict]] = {}
+    for kind, rows in (("node", t["nodes"]), ("subgraph", t["subgraphs"])):
+        for r in rows:
+            own = {"type": kind, **{k: v for k, v in r.items() if k not in ("ord", "parent")}}
+            inside.setdefault(r["parent"], []).append(own)
+    for rows in list(inside.values()):
+        for own in rows:
+            if own["type"] == "subgraph":
+                own["elements"] = inside.get(own["id"], [])
+    return inside.get(None, [])
+
+
+def statistics(t: dict, path: str) -> str:
+    """Tab-separated out-degree, in-degree and label of the nodes by line, then their totals."""
+    out: dict[str, int] = {}
+    into: dict[str, int] = {}
+    for e in t["edges"]:
+        out[e["src"]] = out.get(e["src"], 0) + 1
+        into[e["dst"]] = into.get(e["dst"], 0) + 1
+    rows = sorted(t["nodes"], key=lambda n: n["line"])
+    lines = [f"{out.get(n['id'], 0)}\t{into.get(n['id'], 0)}\t{path}:{n['line']} {'unused ' if n['unused'] else ''}{n['name']}" for n in rows]
+    total = f"{sum(out.get(n['id'], 0) for n in rows)}\t{sum(into.get(n['id'], 0) for n in rows)}\t{len(rows)} total"
+    return "\n".join([*lines, total]) + "\n"
+
+
+def markdown(path: str, language: str, text: str, warnings: list[str], query: str | None, chart: str) -> str:
+    """A page of one file: notices, the source, the query if there is one, and the diagram."""
+    ticks = "```"
+    out = [f"# {path}", ""]
+    if warnings:
+        out += ["## Notice", "", *[f"- {w}" for w in warnings], ""]
+    out += ["## Input", "", ticks + language, text.rstrip("\n"), ticks, ""]
+    if query:
+        out += ["## Query", "", ticks, query, ticks, ""]
+    return "\n".join([*out, "## Mermaid", "", ticks + "mermaid", chart.rstrip("\n"), ticks, ""])
