@@ -206,6 +206,23 @@ def test_html(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+@pytest.mark.parametrize(
+    ("inner", "expected"),
+    [
+        ('<p>one <svg class="i"/> two</p><p>three</p>', "one two\nthree"),
+        ("<p>one <svg viewBox='0'><title/><path d='m'/></svg>two</p><p>three</p>", "one two\nthree"),
+        ("<p>one <svg><path><p>two</p>", "one\ntwo"),
+        ("<svg><foreignObject><div>label</div></foreignObject></svg><p>one</p>", "one"),
+        ("<p>one <button>press</p><p>two</p>", "one\ntwo"),
+        ("<ul><li>one <select><option>a<li>two</ul><p>three</p>", "one\ntwo\nthree"),
+        ("<section>one<template><p>no</section><p>two</p><iframe/><noscript/>", "one\ntwo"),
+        ("<button><div>no</div>no</button>one<script src='a'/></script><p>two</p><iframe src=http://x.example/>no</iframe>", "one\ntwo"),
+    ],
+)
+def test_html_widgets_swallow_nothing(inner, expected):
+    assert html.main_text(f"<html><body><article>{inner}</article></body></html>", [], []) == expected
+
+
 def test_vectors(spark):
     r = np.random.default_rng(5)
     centres = r.standard_normal((6, 24))

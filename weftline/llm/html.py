@@ -41,7 +41,7 @@ BROADCAST_HOSTS = 50_000
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|textarea|template|iframe|title|svg|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:(?<!/>)|(?=[^<]*</\1)).*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^>]*\Z",
     re.S | re.I,
@@ -50,6 +50,13 @@ ATTR = re.compile(r"\b(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html head body div section article main aside nav header footer form ul ol dl table figure blockquote fieldset dialog menu details".split())
+#: Left out as a whole; written ``<svg/>`` they are complete, left open they end with the block or container they stand in.
+WIDGETS = frozenset("button foreignobject iframe noscript select svg template".split())
+#: Those of them that stand within a line.
+FLOWING = frozenset("button select svg".split())
+#: Opening tags that end an open svg, as in browsers.
+LEAVES_SVG = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul article main section".split())
+COMPLETE = re.compile(r"(?:^|[\s\"'])/\s*$|^[^=]*/\s*$")
 DROPPED = frozenset("head nav footer aside form menu dialog fieldset".split())
 HINT = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login"
@@ -63,25 +70,41 @@ HEADER = re.compile(r"(?:^|[-_\s])header(?=$|[-_\s])", re.I)
 def walk(html: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(token, text, breaks, dropped): each token's role, the text after it, whether it ends a block,
     and whether the text stands in something to leave out."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, dropped, inside article
-    at, role, breaks = 0, "", True
+    stack: list[tuple[str, str, bool, bool, str]] = []  # name, path, dropped, inside article, block it stands in
+    at, role, breaks, block = 0, "", True, ""
     for m in TAG.finditer(html):
         text = html[at : m.start()]
         at = m.end()
         path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+        if dropped and any(x[0] in FLOWING for x in stack):
+            breaks = False
         yield role or path, text, breaks, dropped
         name = m.group(3)
         if name is None:
-            role, breaks = "", bool(m.group(1)) and m.group(1).lower() not in ("button", "svg", "select")
+            role, breaks = "", bool(m.group(1))
             continue
         name = name.lower()
-        breaks = name not in INLINE
+        breaks = name not in INLINE and name not in FLOWING
         role = ""
+        while stack and (top := stack[-1][0]) in WIDGETS:
+            if name == block or (not m.group(2) and (name in LEAVES_SVG if top == "svg" else name == top in ("button", "select"))):
+                block = stack.pop()[4]
+            else:
+                break
+        if stack:
+            path, dropped = stack[-1][1], stack[-1][2]
+        else:
+            path, dropped = "", False
         if m.group(2):
             if any(s[0] == name for s in stack):
                 while (closed := stack.pop())[0] != name:
                     pass
-                role = f"{closed[1]}/"
+                role, block = "" if name in WIDGETS else f"{closed[1]}/", closed[4]
+            elif name == block:
+                block = ""
+        elif name in WIDGETS:
+            if not COMPLETE.search(m.group(4)):
+                stack.append((name, f"{path}>{name}", True, bool(stack and stack[-1][3]), block))
         elif name in CONTAINERS and name not in VOID:
             marks = " ".join(v[1] or v[2] or v[3] for v in ATTR.findall(m.group(4))) if m.group(4) else ""
             inside = name in ("article", "main") or bool(stack and stack[-1][3])
@@ -90,10 +113,12 @@ def walk(html: str) -> Iterator[tuple[str, str, bool, bool]]:
             whole_page = name in ("html", "body", "main", "article")
             out = dropped or name in DROPPED or (name == "header" and not inside)
             out = out or (not whole_page and bool(HINT.search(marks) or (not inside and HEADER.search(marks))))
-            stack.append((name, path, out, inside))
-            role = path
+            stack.append((name, path, out, inside, block))
+            role, block = path, ""
         elif breaks and name not in VOID:
             role = f"{path}>{name}"
+            if not (stack and stack[-1][0] in WIDGETS):
+                block = name
     path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
     yield role or path, html[at:], breaks, dropped
 
