@@ -206,6 +206,17 @@ def test_html(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+def test_html_pages_outside_the_sample_keep_their_text(spark):
+    wide = "<html><body><div class='{c}'>text {k}</div></body></html>"
+    rows = [(k, "http://a.example/", f"<html><body class='page-{k}'><article id=post-{k} class='post-{k} t{k}'><p>text {k}</p></article></body></html>") for k in range(300)]
+    rows += [(k, "http://b.example/", f"<html><body><div id=post-{k}><p>text {k}</p></div></body></html>") for k in range(300, 600)]
+    rows += [(k, "http://c.example/", wide.format(c="content", k=k)) for k in range(600, 690)] + [(k, "http://c.example/", wide.format(c="content-wide", k=k)) for k in range(690, 700)]
+    rows += [(k, "http://d.example/", f"<html><body><div id='{'abcdefghij'[k % 10] * (k - 699)}'><p>text {k}</p></div></body></html>") for k in range(700, 800)]
+    out = html.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 800 and all(r["text"] == f"text {r['page_id']}" for r in out)
+    assert html.main_text(wide.format(c="content-wide", k=1), [">html>body>div.content"], []) == "text 1"
+
+
 @pytest.mark.parametrize(
     ("inner", "expected"),
     [

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -67,6 +67,24 @@ HINT = re.compile(
 HEADER = re.compile(r"(?:^|[-_\s])header(?=$|[-_\s])", re.I)
 
 
+GRID = re.compile(r"(?:col|span|grid|row|w|m|p)(?:-[a-z]+)*-?\d{1,2}", re.I)
+
+
+def own_digits(mark: str) -> str:
+    """An id or class without the numbers that only one page has (post-7817): they read as 0; columns of a grid keep theirs."""
+    return mark if GRID.fullmatch(mark) else re.sub(r"\d+", "0", mark)
+
+
+def under(path: str, places: Iterable[str]) -> bool:
+    return any(path == p or path.startswith(p + ">") for p in places)
+
+
+def named(roles: Iterable[str]) -> list[str]:
+    """The article containers of a page, without any its main containers. They bear no ids or classes in their role."""
+    opened = {r for r in roles if not r.endswith("/")}
+    return next((found for name in ("article", "main") if (found := sorted(r for r in opened if r.rsplit(">", 1)[-1] == name))), [])
+
+
 def walk(html: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(token, text, breaks, dropped): each token's role, the text after it, whether it ends a block,
     and whether the text stands in something to leave out."""
@@ -108,9 +126,9 @@ def walk(html: str) -> Iterator[tuple[str, str, bool, bool]]:
         elif name in CONTAINERS and name not in VOID:
             marks = " ".join(v[1] or v[2] or v[3] for v in ATTR.findall(m.group(4))) if m.group(4) else ""
             inside = name in ("article", "main") or bool(stack and stack[-1][3])
-            label = name + ("." + ".".join(sorted(marks.split())) if marks else "")
-            path = f"{path}>{label}"
             whole_page = name in ("html", "body", "main", "article")
+            label = name + ("." + ".".join(sorted({own_digits(m) for m in marks.split()})) if marks and not whole_page else "")
+            path = f"{path}>{label}"
             out = dropped or name in DROPPED or (name == "header" and not inside)
             out = out or (not whole_page and bool(HINT.search(marks) or (not inside and HEADER.search(marks))))
             stack.append((name, path, out, inside, block))
@@ -160,11 +178,8 @@ def deduce(pages: list[list[tuple[str, int, int, int, int]]]) -> tuple[list[str]
             roles.sort(key=lambda r: places[r][0])
             ordered = all(places[a][x] < places[b][x] for a, b in zip(roles, roles[1:], strict=False) for x in range(met))
             frame += roles if ordered or len(roles) == 1 else []
-    opened = [r for r in vectors if not r.endswith("/")]
-    named = [r for r in opened if re.match(r"(article|main)(\.|$)", r.rsplit(">", 1)[-1])]
-    if named:
-        main = [r for r in named if "article" in (r.rsplit(">", 1)[-1].split(".")[0],)] or named
-    else:
+    main = named(vectors)
+    if not main:
         held: Counter[str] = Counter()
         for r in vectors:
             if size[r] and (len(texts[r]) > 1 or len(pages) == 1):
@@ -172,7 +187,7 @@ def deduce(pages: list[list[tuple[str, int, int, int, int]]]) -> tuple[list[str]
                 last = path.rsplit(">", 1)[-1].split(".")[0]
                 held[path if last in CONTAINERS else path.rsplit(">", 1)[0]] += size[r]
         main = [max(held, key=lambda r: (held[r], r))] if held else []
-    inside = [r for r in vectors if any(r.startswith(m) for m in main)]
+    inside = [r for r in vectors if under(r, main)]
     varied = max((len(texts[r]) for r in inside), default=0)
     fixed = [
         r for r in frame
@@ -187,9 +202,10 @@ def main_text(html: str | None, main: list[str], fixed: list[str]) -> str:
         return ""
     blocks: list[str] = []
     now: list[str] = []
-    wanted, constant = tuple(main), frozenset(fixed)
     tokens = list(walk(html))
-    if not any(r.startswith(m) for r, *_ in tokens for m in wanted):  # a page of another make
+    seen = {r for r, _, _, dropped in tokens if not dropped}
+    wanted, constant = tuple(named(seen) or main), frozenset(fixed)
+    if not any(under(r, wanted) for r in seen):  # a page of another make
         wanted, constant = tuple(deduce([tokens_of(html)])[0]), frozenset()
     place = False
     for role, text, breaks, dropped in tokens:
@@ -198,7 +214,7 @@ def main_text(html: str | None, main: list[str], fixed: list[str]) -> str:
             now = []
         if role:
             path = role.rstrip("/") if not role.endswith("/") else role[:-1].rsplit(">", 1)[0]
-            place = any(path == m or path.startswith(m + ">") for m in wanted)
+            place = under(path, wanted)
         if place and not dropped and text and role not in constant:
             now.append(unescape(text))
     if now:
