@@ -217,6 +217,15 @@ def test_html_pages_outside_the_sample_keep_their_text(spark):
     assert html.main_text(wide.format(c="content-wide", k=1), [">html>body>div.content"], []) == "text 1"
 
 
+def test_html_template_texts_are_those_of_nearly_all_pages(spark):
+    page = "<html><body><article><div class=author>{a}</div><p>text {k}</p><div class=legal>All rights</div></article></body></html>"
+    rows = [(k, "http://a.example/", page.format(k=k, a="Staff" if k % 20 else f"Writer {k}")) for k in range(400)]
+    rows += [(k, "http://b.example/", page.format(k=k, a="Staff" if k % 4 else f"Writer {k}")) for k in range(400, 800)]
+    out = {r["page_id"]: r["text"].split("\n") for r in html.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == ([f"Writer {k}"] if k % 20 == 0 else []) + [f"text {k}"] for k in range(400))
+    assert all(out[k] == [f"Writer {k}" if k % 4 == 0 else "Staff", f"text {k}"] for k in range(400, 800))
+
+
 @pytest.mark.parametrize(
     ("inner", "expected"),
     [

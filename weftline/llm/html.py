@@ -1,22 +1,22 @@
 r"""Main text of web pages by template deduction from equivalence classes.
 
 1. Every page is read as a sequence of tokens: opening tags with their path of containers (names, with
-   ids and classes). For each such token a page gives its number of occurrences, and a hash of
-   the text up to the next token.
-2. For each host, up to SAMPLE pages (those with the smallest hash in each of SAMPLE hash cells: a
-   documented, bounded sample) give each token an occurrence vector. Tokens with equal
-   vectors form an equivalence class. Valid classes (met on most pages, ordered alike) are nested by
-   their containers into the host's template; what stands between its tokens are slots.
+   ids and classes without their numbers). For each such token a page gives its number of occurrences, and
+   a hash of the text up to the next token.
+2. For each host, pages are counted by token and text, over all pages. Tokens that stand once on a page, on most
+   pages, are the class that makes the host's template; classes of other occurrence vectors aren't used,
+   and classes aren't nested: a token's path says where it stands.
 3. A slot's text that is the same on nearly all pages though their articles differ belongs to
-   the template. Of the remaining slots, those under ``article`` or ``main`` are the main text; without
-   such a container, those of the container with the most text that varies.
+   the template, and is left out where a page has that very text. The main text is chosen by tag names:
+   what stands in a page's ``article`` containers, without any in ``main``; without such a
+   container, in the container with the most text that varies over the host's pages.
 4. Every page is cut along its host's template and the text of the main slots is written out.
 
 Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and comments
 are left out by their tags and by the words in their ids and classes, inside the article too; the header
 of an article itself stays. Blocks are cut at block tags and ``br``.
 
-Only token tables of bounded size are grouped by host, never pages; a hot host costs no more.
+Only counts of tokens and texts are exchanged, added up beforehand, never pages; a hot host costs no more.
 Defined cases: null or empty html gives an empty text; a page without a url is a host of its own kind
 (the empty host); unclosed tags end with their container, a cut-off tag is markup; pages of a host with one page use
 the template of that page; repeated rows give repeated rows; other columns are ignored.
@@ -25,7 +25,7 @@ the template of that page; repeated rows give repeated rows; other columns are i
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -33,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_groups
+from .common import cut
 
-SAMPLE = 32
+#: A text on at least LEAST pages and this share of those with its role belongs to the template.
+LEAST, NEARLY_ALL = 4, 0.9
 #: So many templates (a few hundred bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 
@@ -141,72 +142,56 @@ def walk(html: str) -> Iterator[tuple[str, str, bool, bool]]:
     yield role or path, html[at:], breaks, dropped
 
 
-def tokens_of(html: str | None) -> list[tuple[str, int, int, int, int]]:
-    """(role, count, first place, characters, text hash) of a page's tokens, left-out ones aside."""
+def text_hash(texts: Iterable[str]) -> int:
     import xxhash
 
-    found: dict[str, list] = {}
-    for k, (role, text, _, dropped) in enumerate(walk(html or "")):
+    h = xxhash.xxh3_64()
+    for text in texts:
+        h.update(" ".join(text.split()).encode("utf-8", "replace"))
+    return h.intdigest() >> 1
+
+
+def tokens_of(html: str | None) -> list[tuple[str, int, int, int, bool]]:
+    """(role, count, characters, text hash, inside) of a page's tokens, left-out ones aside; ``inside``: in a named container."""
+    found: dict[str, list[str]] = {}
+    for role, text, _, dropped in walk(html or ""):
         if role and not dropped:
-            t = found.setdefault(role, [0, k, 0, xxhash.xxh3_64()])
-            t[0] += 1
-            text = " ".join(text.split())
-            t[2] += len(text)
-            t[3].update(text.encode("utf-8", "replace"))
-    return [(r, n, k, c, h.intdigest() >> 1) for r, (n, k, c, h) in found.items()]
-
-
-def deduce(pages: list[list[tuple[str, int, int, int, int]]]) -> tuple[list[str], list[str]]:
-    """(main, fixed): the containers that hold the main text, and tokens whose text belongs to the template."""
-    vectors: dict[str, list[int]] = defaultdict(lambda: [0] * len(pages))
-    places: dict[str, list[int]] = defaultdict(list)
-    size: Counter[str] = Counter()
-    texts: dict[str, set[int]] = defaultdict(set)
-    for i, page in enumerate(pages):
-        for role, n, k, chars, h in page:
-            vectors[role][i] = n
-            places[role].append(k)
-            size[role] += chars
-            texts[role].add(h)
-    classes: dict[tuple[int, ...], list[str]] = defaultdict(list)
-    for role, v in vectors.items():
-        classes[tuple(v)].append(role)
-    frame: list[str] = []
-    for v, roles in classes.items():
-        met = sum(n > 0 for n in v)
-        if 2 * met >= len(pages) and max(v) == 1:  # once on most pages
-            roles.sort(key=lambda r: places[r][0])
-            ordered = all(places[a][x] < places[b][x] for a, b in zip(roles, roles[1:], strict=False) for x in range(met))
-            frame += roles if ordered or len(roles) == 1 else []
-    main = named(vectors)
-    if not main:
-        held: Counter[str] = Counter()
-        for r in vectors:
-            if size[r] and (len(texts[r]) > 1 or len(pages) == 1):
-                path = r.rstrip("/")
-                last = path.rsplit(">", 1)[-1].split(".")[0]
-                held[path if last in CONTAINERS else path.rsplit(">", 1)[0]] += size[r]
-        main = [max(held, key=lambda r: (held[r], r))] if held else []
-    inside = [r for r in vectors if under(r, main)]
-    varied = max((len(texts[r]) for r in inside), default=0)
-    fixed = [
-        r for r in frame
-        if r in inside and size[r] and not re.search(r">h[1-6]$|>p$", r) and len(places[r]) >= 4 and len(texts[r]) == 1 and varied >= 4
-    ]
-    return sorted(main), sorted(fixed)
-
-
-def main_text(html: str | None, main: list[str], fixed: list[str]) -> str:
-    """The text of a page's main slots, a line a block."""
+            found.setdefault(role, []).append(text)
+    main = named(found)
+    return [(r, len(t), sum(len(" ".join(x.split())) for x in t), text_hash(t), under(r, main)) for r, t in found.items()]
+
+
+def container(role: str) -> str:
+    """The container that a role's text is counted for."""
+    path = role.rstrip("/")
+    return path if path.rsplit(">", 1)[-1].split(".")[0] in CONTAINERS else path.rsplit(">", 1)[0]
+
+
+def own_main(html: str) -> list[str]:
+    """The main container of a page by itself: the one with the most text."""
+    held: Counter[str] = Counter()
+    for role, _, chars, _, _ in tokens_of(html):
+        held[container(role)] += chars
+    return [max(held, key=lambda r: (held[r], r))] if any(held.values()) else []
+
+
+def main_text(html: str | None, main: list[str], fixed: list[tuple[str, int]]) -> str:
+    """The text of a page's main slots, a line a block. ``fixed``: (role, text hash) of the template's texts."""
     if not html:
         return ""
     blocks: list[str] = []
     now: list[str] = []
     tokens = list(walk(html))
     seen = {r for r, _, _, dropped in tokens if not dropped}
-    wanted, constant = tuple(named(seen) or main), frozenset(fixed)
+    wanted = named(seen) or main
     if not any(under(r, wanted) for r in seen):  # a page of another make
-        wanted, constant = tuple(deduce([tokens_of(html)])[0]), frozenset()
+        wanted = own_main(html)
+    constant = dict(fixed)
+    slots: dict[str, list[str]] = {r: [] for r in constant}
+    for role, text, _, dropped in tokens:
+        if role in slots and not dropped:
+            slots[role].append(text)
+    left_out = {r for r, t in slots.items() if len(t) == 1 and text_hash(t) == constant[r]}
     place = False
     for role, text, breaks, dropped in tokens:
         if breaks and now:
@@ -215,7 +200,7 @@ def main_text(html: str | None, main: list[str], fixed: list[str]) -> str:
         if role:
             path = role.rstrip("/") if not role.endswith("/") else role[:-1].rsplit(">", 1)[0]
             place = under(path, wanted)
-        if place and not dropped and text and role not in constant:
+        if place and not dropped and text and role not in left_out:
             now.append(unescape(text))
     if now:
         blocks.append("".join(now))
@@ -223,28 +208,45 @@ def main_text(html: str | None, main: list[str], fixed: list[str]) -> str:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, main, fixed), a row a host."""
+    """(host, main, fixed), a row a host, from all pages: counts of (host, role, text), added up before each exchange."""
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("role", pa.string()), ("n", pa.int32()), ("at", pa.int32()), ("chars", pa.int32()), ("h", pa.int64())]))
+        names = ["host", "role", "h", "pages", "once", "chars", "inside"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in it:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                rows = [[dict(zip(("role", "n", "at", "chars", "h"), t, strict=True)) for t in tokens_of(h)] for h in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, kind)], ["host", "o", "tokens"])
-
-    token = "array<struct<role:string,n:int,at:int,chars:int,h:bigint>>"
-    keyed = pages.select(host_of(), F.xxhash64("page_id", "url").alias("o"), "html")
-    picked = keyed.groupBy("host", F.pmod("o", F.lit(SAMPLE)).alias("cell")).agg(F.min("o").alias("o")).select("host", "o")
-    read_pages = keyed.mapInArrow(read, f"host string, o long, tokens {token}")
-    sample = read_pages.join(picked, ["host", "o"], "left_semi").dropDuplicates(["host", "o"])
-
-    def make(t: pa.Table) -> pa.Table:
-        pages = [[tuple(x.values()) for x in p] for p in t.column("tokens").to_pylist()]
-        main, fixed = deduce(pages)
-        return pa.table({"host": [t.column("host")[0].as_py()], "main": pa.array([main], pa.list_(pa.string())), "fixed": pa.array([fixed], pa.list_(pa.string()))})
-
-    return in_groups(sample, ["host"], make, "host string, main array<string>, fixed array<string>")
+                sums: dict[tuple[str, str, int], list] = {}
+                for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for role, n, chars, h, inside in [("", 1, 0, 0, False), *tokens_of(html)]:
+                        t = sums.setdefault((host, role, h), [0, 0, 0, False])
+                        t[0] += 1
+                        t[1] += n == 1
+                        t[2] += chars
+                        t[3] |= inside
+                rows = [(*k, *v) for k, v in sums.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    counted = pages.select(host_of(), "html").mapInArrow(read, "host string, role string, h long, pages long, once long, chars long, inside boolean")
+    texts = counted.groupBy("host", "role", "h").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "chars")], F.bool_or("inside").alias("inside"))
+    roles = texts.groupBy("host", "role").agg(
+        F.sum("pages").alias("met"), F.count("*").alias("texts"), F.sum("chars").alias("chars"), F.bool_or("inside").alias("inside"), F.max(F.struct("once", "h")).alias("top")
+    )
+    roles = cut(roles, "roles")
+    hosts = roles.where("role = ''").select("host", F.col("met").alias("pages"))
+    roles = roles.where("role <> ''").join(hosts, "host")
+    path = F.regexp_replace("role", "/+$", "")
+    last = F.substring_index(path, ">", -1)
+    held = F.when(F.substring_index(last, ".", 1).isin(*CONTAINERS), path).otherwise(F.expr("left(path, greatest(length(path) - length(last) - 1, 0))"))
+    varied = roles.where("chars > 0 AND (texts > 1 OR pages = 1)").withColumns({"path": path, "last": last}).withColumn("place", held)
+    varied = varied.groupBy("host", "place").agg(F.sum("chars").alias("chars"))
+    main = varied.groupBy("host").agg(F.max(F.struct("chars", "place"))["place"].alias("main"))
+    slots = roles.join(main, "host", "left").where("inside OR role = main OR startswith(role, main || '>')")
+    differ = slots.groupBy("host").agg(F.max("texts").alias("differ")).where(F.col("differ") >= LEAST)
+    fixed = slots.where(~F.col("role").rlike(r">h[1-6]$|>p$") & F.expr("chars > 0 AND 2 * met >= pages") & (F.col("top.once") >= LEAST) & (F.col("top.once") >= NEARLY_ALL * F.col("met")))
+    fixed = fixed.join(differ, "host", "left_semi").groupBy("host").agg(F.collect_list(F.struct("role", F.col("top.h").alias("h"))).alias("fixed"))
+    out = hosts.join(main, "host", "left").join(fixed, "host", "left")
+    return out.select("host", F.when(F.col("main").isNotNull(), F.array("main")).otherwise(F.array().cast("array<string>")).alias("main"), "fixed")
 
 
 def host_of() -> F.Column:
@@ -259,7 +261,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 html, main, fixed = (part.column(c).to_pylist() for c in ("html", "main", "fixed"))
-                texts = [main_text(h, m or [], f or []) for h, m, f in zip(html, main, fixed, strict=True)]
+                texts = [main_text(h, m or [], [(x["role"], x["h"]) for x in f or []]) for h, m, f in zip(html, main, fixed, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
                 )
