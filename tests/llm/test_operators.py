@@ -147,6 +147,24 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mix_sources(rows, weights.where("source = 'rare'")).where("source = 'hot'").count() == 0
 
 
+def test_mixing_draws_large_rates(spark):
+    """Rates of 1000 and 3600 have a Poisson mean and variance; up to 700, the count is the plain inverse at one uniform number."""
+    rows = spark.range(440).selectExpr("id AS doc_id", "'0123456789' AS text", "CASE WHEN id < 200 THEN 'a' WHEN id < 400 THEN 'b' ELSE 'c' END AS source")
+    weights = spark.createDataFrame([("a", 200 * 1000.0), ("b", 200 * 3600.0), ("c", 40 * 650.0)], "source string, weight double")
+    epochs = (200 * 1000.0 + 200 * 3600.0 + 40 * 650.0) / 440
+    out = mixing.mix_sources(rows, weights, epochs=epochs).where("copy = 0").select("doc_id", "source", "rate", "n_copies").toPandas()
+    for source, rate in (("a", 1000), ("b", 3600)):
+        n = out[out.source == source].n_copies
+        assert len(n) == 200 and abs(n.mean() - rate) < 5 * (rate / 200) ** 0.5 and 0.6 < n.var() / rate < 1.5
+    for r in out[out.source == "c"].itertuples():
+        u, p, c, k = (int(hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52, np.exp(-r.rate), np.exp(-r.rate), 0
+        while c < u:
+            k += 1
+            p *= r.rate / k
+            c += p
+        assert r.n_copies == k
+
+
 def test_language(spark, docs, nothing):
     own = {"en": "the house and the river of stone with that word", "fr": "la maison et la rivière été avec que des mots"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation(own[lang].split())), lang) for i in range(200) for lang in (["en", "fr"][i % 2],)]

@@ -4,7 +4,8 @@ Each source s gets the rate  rate_s = weight_s * budget / size_s  (how often its
 have to be repeated to fill its share of the budget). Each document draws its number of
 copies from a Poisson distribution with that mean by inverting the distribution
 function at a hash-seeded uniform number, is exploded by that count, and the copies
-are dealt out globally by a hash. Sizes are summed exactly over all rows, with partial
+are dealt out globally by a hash. A rate above ONE_DRAW is split into equal parts, and the count is the
+sum of a draw for each part, with a seed of its own: exact, as sums of Poisson numbers are Poisson. Sizes are summed exactly over all rows, with partial
 sums before the exchange; only one row per source is joined back, and a hot source is
 never gathered.
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: A source table up to this many rows is broadcast; beyond it, the join is shuffled.
 BROADCAST_SOURCES = 100_000
+#: The largest mean drawn at once: exp(-mean) is a normal double. Larger rates are drawn as sums.
+ONE_DRAW = 700
 ADDED = ("copy", "rate", "n_copies", "mix_key")
 
 
@@ -67,13 +70,18 @@ def mix_sources(
     """All columns of ``docs`` once per drawn copy, with ``copy`` (from 0), ``rate``, ``n_copies``
     and ``mix_key``, dealt out and sorted by the hash ``mix_key`` within partitions."""
     docs = docs.drop(*ADDED)
-    rates = source_rates(docs, weights, alpha, epochs).select(F.col("source").alias("_s"), "rate", poisson_cdf(F.col("rate")).alias("_cdf"))
+    parts = F.greatest(F.ceil(F.col("rate") / ONE_DRAW), F.lit(1)).cast("int")
+    rates = source_rates(docs, weights, alpha, epochs).select(F.col("source").alias("_s"), "rate", parts.alias("_parts"), poisson_cdf(F.col("rate") / parts).alias("_cdf"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_u", uniform(F.lit(seed), "doc_id"))
-    drawn = drawn.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c < F.col("_u"))).cast("long"))
+    below = lambda u: F.size(F.filter("_cdf", lambda c: c < u)).cast("long")
+    drawn = drawn.withColumn("n_copies", below(F.col("_u")))
+    further = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: uniform(F.lit(seed), "doc_id", k.cast("string")))
+    further = F.aggregate(further, F.lit(0).cast("long"), lambda n, u: n + below(u))
+    drawn = drawn.withColumn("n_copies", F.when(F.col("_parts") > 1, F.col("n_copies") + further).otherwise(F.col("n_copies")))
     copies = drawn.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("n_copies") - 1).cast("int"))))
-    copies = copies.drop("_s", "_cdf", "_u").withColumn("copy", F.col("copy").cast("long"))
+    copies = copies.drop("_s", "_parts", "_cdf", "_u").withColumn("copy", F.col("copy").cast("long"))
     copies = copies.withColumn("mix_key", F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy")), 1, 16))
     deal = [partitions] if partitions else []
     return copies.repartition(*deal, "mix_key").sortWithinPartitions("mix_key")
