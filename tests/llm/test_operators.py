@@ -279,6 +279,21 @@ def test_vectors(spark):
     assert vectors.query(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "common"), [(600, 0.8), (3000, 0.8), (600, 0.96)])
+def test_vectors_with_a_common_direction(spark, n, common):
+    r = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centre = unit(r.standard_normal((1, 64)))
+    x = unit(np.sqrt(common) * centre + np.sqrt(1 - common) * unit(r.standard_normal((n, 64))))
+    u = r.standard_normal(x.shape)
+    u = unit(u - (u * x).sum(1, keepdims=True) * x)
+    x = np.concatenate([x, 0.94 * x + np.sqrt(1 - 0.94**2) * u])
+    near = int(np.triu(x @ x.T >= 0.93, 1).sum()) * 2
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    found = sum(o["n_links"] for o in vectors.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert near >= 2 * n and 0.998 * near <= found <= near
+
+
 def labelled(spark, n=400):
     rows, labels = [], []
     for i in range(n):

@@ -7,7 +7,10 @@
 2. Every vector is encoded. Codes are cut into substrings of ``bits`` bits; two vectors of one label that
    agree on a whole substring meet in that table's bucket. ``bits`` grows with the logarithm of the
    largest label, so buckets stay small, and the number of tables is set so that a pair exactly at the
-   threshold is missed in all of them with odds under MISS.
+   threshold is missed in all of them with odds under MISS. How often the bits of such pairs agree is
+   measured on pairs made around sample vectors, as centring drives pairs apart where vectors have
+   a common direction. Past MOST_TABLES tables, substrings get shorter; where even the shortest need
+   more, all vectors of a label are compared: exact, and quadratic in its size.
 3. Buckets are compared block against block (at most BLOCK vectors a side) with the original vectors in
    double precision. A pair counts in the first table in which it meets, so links are counted once
    and never listed: a block returns a count per vector and one link per vector into its local
@@ -35,6 +38,8 @@ from .graph import components
 COSINE, SAMPLE, MISS, BLOCK = 0.93, 20_000, 1e-4, 256
 #: Vectors of a label that a bucket holds on average, about.
 BUCKET, MIN_BITS, MAX_BITS, CODE = 16, 8, 24, 64
+#: Pairs made to measure the bits' agreement, and rotations it is measured on.
+PAIRS, MEASURED, MOST_TABLES = 2000, 8, 256
 
 
 @dataclass
@@ -46,6 +51,8 @@ class Codes:
 
     def substrings(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables) ints: the substrings of the codes of unit vectors."""
+        if not self.bits:  # one bucket
+            return np.zeros((len(x), 1), dtype=np.int64)
         out = []
         for turn in self.turns:
             signs = (x - self.mean) @ turn > 0
@@ -78,10 +85,44 @@ def plan(largest: int, cosine: float = COSINE) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 
 
+def agreement(sample: np.ndarray, mean: np.ndarray, turns: list[np.ndarray], cosine: float) -> list[np.ndarray]:
+    """For pairs exactly at ``cosine`` around sample vectors, the share of code bits that agree: pairs apart in
+    any direction, and pairs apart in the direction of other sample vectors."""
+    rng = np.random.default_rng(0)
+    x = sample[rng.integers(0, len(sample), PAIRS)]
+    out = []
+    for away in (rng.standard_normal(x.shape), sample[rng.integers(0, len(sample), PAIRS)]):
+        u = away - (away * x).sum(1, keepdims=True) * x
+        long = np.linalg.norm(u, axis=1, keepdims=True)
+        y = cosine * x + math.sqrt(1 - cosine**2) * u / np.maximum(long, 1e-300)
+        kept = long[:, 0] > 1e-6
+        if kept.any():
+            out.append(np.mean([(((x - mean) @ t > 0) == ((y - mean) @ t > 0))[kept].mean(1) for t in turns], axis=0))
+    return out
+
+
+def tables_for(agree: list[np.ndarray], bits: int) -> int:
+    """Tables after which pairs with these agreements are missed with odds under MISS; MOST_TABLES + 1 if more are needed."""
+    missed = [1 - a**bits for a in agree]
+    low, high = 1, MOST_TABLES + 1
+    while low < high:
+        n = (low + high) // 2
+        low, high = (low, n) if all((m**n).mean() <= MISS for m in missed) else (n + 1, high)
+    return low
+
+
 def learn(sample: np.ndarray, largest: int, cosine: float = COSINE) -> Codes:
     bits, tables = plan(largest, cosine)
     mean = sample.mean(0)
-    turns = [itq(sample - mean, CODE, seed) for seed in range(math.ceil(tables / (CODE // bits)))]
+    turns = [itq(sample - mean, CODE, seed) for seed in range(MEASURED)]
+    agree = agreement(sample, mean, turns, cosine)
+    tables = max(tables, tables_for(agree, bits))
+    while tables > MOST_TABLES and bits > MIN_BITS:
+        bits -= 1
+        tables = tables_for(agree, bits)
+    if tables > MOST_TABLES:
+        return Codes(mean, [], 0, 1)
+    turns += [itq(sample - mean, CODE, seed) for seed in range(MEASURED, math.ceil(tables / (CODE // bits)))]
     return Codes(mean, turns, bits, tables)
 
 
