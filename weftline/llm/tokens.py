@@ -14,19 +14,21 @@ Only one row a file comes to the driver.
 
 Texts are cut at spaces and line ends and before closing marks, where the tokenizer cuts as well, and each
 distinct piece is encoded once per worker while a bounded memory of pieces lasts: the ids are those
-of the whole text (for the lower-casing, space-dropping vocabulary that this is made for). Defined cases: a null text is encoded as empty (the end id only); rows with equal doc_id
-are ordered by the hash of their text; null ids come first; an empty table gives no rows;
-other columns are ignored.
+of the whole text (for the lower-casing, space-dropping vocabulary that this is made for). Defined
+cases: a null text is encoded as empty (the end id only); rows with equal doc_id are ordered by the
+hash of their text; null ids come first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 from .common import new_path
 
 LENGTH, ROWS, END = 1024, 64, 1
-#: Pieces that a worker remembers (about 200 bytes each), and documents encoded at a time.
-PIECES, DOCS = 1_000_000, 256
-#: Plain words encoded in one call.
-JOINED = 256
-MARKS = ".,!?;:"
+#: Pieces that a worker remembers (about 200 bytes each); documents and characters encoded at a time (a longer text goes alone).
+PIECES, DOCS, CHARS = 1_000_000, 4096, 8_000_000
+#: Plain words encoded as one text, and such texts in one call.
+JOINED, CALLS = 1024, 8
+MARKS = punctuation
 
 
 class Pieces:
@@ -53,38 +55,57 @@ class Pieces:
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65536
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [plain(t).split(" ") for t in texts]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each text has.
+
+        Arrow splits the texts and numbers their distinct pieces; only those are looked up, and numpy lays the ids out."""
+        if not texts:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        split = pc.split_pattern(pa.array([plain(t) for t in texts], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn(distinct)
+        parts = list(map(self.known.__getitem__, distinct))
+        flat = np.frombuffer(b"".join(parts), dtype="<u4")
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) >> 2
+        place = coded.indices.to_numpy()
+        n = sizes[place]
+        total = np.cumsum(n)
+        kind = np.int32 if max(len(flat), total[-1]) < 2**31 else np.int64
+        at = np.repeat(((np.cumsum(sizes) - sizes)[place] - (total - n)).astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
+        return flat[at], np.add.reduceat(n, split.offsets.to_numpy()[:-1])
+
+    def learn(self, distinct: list[str]) -> None:
+        """Encode the pieces that aren't known yet."""
         if len(self.known) > PIECES:
             self.known = {"": b""}
         known = self.known
-        fresh = set().union(*split).difference(known)
+        fresh = [p for p in distinct if p not in known]
         bare = {p for p in fresh if p.isalpha() and p.islower()}  # their own cores
-        new = {p: core(p) for p in fresh.difference(bare)}
+        new = {p: core(p) for p in fresh if p not in bare}
         bare |= {q for pair in new.values() for q in pair}.difference(known)
         words = [q for q in bare if q.isalpha() and (q.isascii() or q.lower().isalpha() and is_normalized("NFC", q))]
-        for a in range(0, len(words), JOINED):
-            self._words(words[a : a + JOINED])
+        for a in range(0, len(words), JOINED * CALLS):
+            self._words([words[b : b + JOINED] for b in range(a, min(a + JOINED * CALLS, len(words)), JOINED)])
         self._each([q for q in bare if q not in known])
         for p, (word, marks) in new.items():
             known[p] = known[word] + known[marks]
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
     def _each(self, some: list[str]) -> None:
         for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def _words(self, words: list[str]) -> None:
-        """Plain words, encoded as one text: the vocabulary marks the last token of each. If that doesn't give as many words, one by one."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return self._each(words)
-        data = ids.tobytes()
-        at = 0
-        for word, end in zip(words, ends, strict=True):
-            self.known[word] = data[4 * at : 4 * end]
-            at = end
+    def _words(self, groups: list[list[str]]) -> None:
+        """Plain words, each group encoded as one text: the vocabulary marks the last token of each. If that doesn't give as many words, one by one."""
+        for words, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(w) for w in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(ends) != len(words) or ends[-1] != 4 * len(ids):
+                self._each(words)
+                continue
+            data, ends = ids.tobytes(), ends.tolist()
+            self.known.update((word, data[a:b]) for word, a, b in zip(words, [0, *ends[:-1]], ends, strict=True))
 
 
 def plain(text: str) -> str:
@@ -94,8 +115,11 @@ def plain(text: str) -> str:
 
 
 def core(piece: str) -> tuple[str, str]:
-    """A piece as a word and the marks after it, which are tokens of their own; ASCII in lower case, as the vocabulary has it."""
-    low = piece.lower() if piece.isascii() and "<|" not in piece else piece
+    """A piece as a word and the marks after it, which are tokens of their own; ASCII in lower case, as the vocabulary has it.
+    A piece that may hold a special token stays whole."""
+    if "<|" in piece:
+        return piece, ""
+    low = piece.lower() if piece.isascii() else piece
     word = low.rstrip(MARKS)
     return (word, low[len(word) :]) if word and word[-1].lower()[-1].isalnum() else (low, "")
 
@@ -127,25 +151,26 @@ class FileWriter:
         self.length, self.schema = length, sequence_schema(length, wide)
         self.kind = np.uint32 if wide else np.uint16
         self.out, self.docs = pa.ipc.new_file(sink, self.schema), pa.ipc.new_file(docs_sink, DOCS_SCHEMA)
-        self.waiting: list[bytes] = []
+        self.waiting: list[np.ndarray] = []
         self.held = self.total = self.n_docs = 0
         self.index: tuple[list, list, list] = ([], [], [])
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        n = len(ids) // 4
-        for column, value in zip(self.index, (doc_id, self.total, n), strict=True):
-            column.append(value)
-        self.total, self.n_docs = self.total + n, self.n_docs + 1
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents with ``counts`` ids each, one after the other in ``ids``."""
+        starts = self.total + np.cumsum(counts) - counts
+        for column, values in zip(self.index, (doc_ids, starts.tolist(), counts.tolist()), strict=True):
+            column.extend(values)
+        self.total, self.n_docs = self.total + len(ids), self.n_docs + len(doc_ids)
         self.waiting.append(ids)
-        self.held += n
+        self.held += len(ids)
         if self.held >= self.length * ROWS:
             self._flush(False)
         if len(self.index[0]) >= 65536:
             self._flush_docs()
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.waiting), dtype="<u4")
-        n = -(-len(ids) // self.length) if last else len(ids) // self.length
+        ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, dtype="<u4")
+        n = -(-len(ids) // self.length) if last else len(ids) // (self.length * ROWS) * ROWS
         whole, rest = ids[: n * self.length], ids[n * self.length :]
         for a in range(0, n, ROWS):
             own = whole[a * self.length : (a + ROWS) * self.length]
@@ -155,7 +180,7 @@ class FileWriter:
             full[: len(own)], mask[: len(own)] = own, True
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (full, mask)]
             self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
-        self.waiting, self.held = [rest.tobytes()], len(rest)
+        self.waiting, self.held = [rest.copy()], len(rest)
 
     def _flush_docs(self) -> None:
         self.docs.write_batch(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in self.index], schema=DOCS_SCHEMA))
@@ -170,8 +195,6 @@ class FileWriter:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, length: int = LENGTH, end: int = END) -> list[tuple[str, int, int]]:
     """Write all documents under ``path``; (file, documents, tokens) in order."""
-    tail = np.array([end], dtype="<u4").tobytes()
-
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
@@ -180,15 +203,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, length: int =
         name = f"part-{own:06d}"
         coder, writer, sinks = pieces(tokenizer_path), None, []
         for batch in it:
-            for a in range(0, batch.num_rows, DOCS):
-                part = batch.slice(a, DOCS)
+            for part in in_parts(batch):
                 if writer is None:
                     files.create_dir(root, recursive=True)
                     sinks = [files.open_output_stream(f"{root}/.{name}.{kind}.{attempt}") for kind in ("ids", "docs")]
                     writer = FileWriter(*sinks, length, coder.wide)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(texts), strict=True):
-                    writer.add(doc_id, ids + tail)
+                ids, counts = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                writer.add(part.column(0).to_pylist(), np.insert(ids, np.cumsum(counts), end), counts + 1)
         if writer is not None:
             writer.close()
             for kind, sink in zip(("ids", "docs"), sinks, strict=True):
@@ -202,15 +223,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, length: int =
     return sorted((r["file"], r["n_docs"], r["n_tokens"]) for r in done)
 
 
+def in_parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most DOCS documents and, but for single texts, CHARS characters."""
+    held = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < batch.num_rows:
+        before = held[a - 1] if a else 0
+        b = max(a + 1, min(a + DOCS, int(np.searchsorted(held, before + CHARS, "right"))))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def sequence(file: pa.NativeFile | pa.MemoryMappedFile, row: int) -> tuple[np.ndarray, pa.BooleanArray]:
     """Ids and mask of one row: views into the (memory-mapped) file, no copies.
 
-    All batches but those at a flush's end hold ROWS rows, so few are looked at before the right one."""
-    reader = pa.ipc.open_file(file)
-    at, k = 0, 0
-    while row >= at + (batch := reader.get_batch(k)).num_rows:
-        at, k = at + batch.num_rows, k + 1
-    ids, mask = (batch.column(c).slice(row - at, 1).flatten() for c in ("ids", "mask"))
+    All batches but the last hold ROWS rows, so the row's batch is known without a search."""
+    batch = pa.ipc.open_file(file).get_batch(row // ROWS)
+    ids, mask = (batch.column(c).slice(row % ROWS, 1).flatten() for c in ("ids", "mask"))
     return ids.to_numpy(zero_copy_only=True), mask
 
 
