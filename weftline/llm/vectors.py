@@ -1,24 +1,27 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-1. ITQ: on a bounded sample (at most SAMPLE vectors, those with the smallest hash of the id: a
+1. Rows of one label with the very same vector are one node with a number of rows, so copies are never compared.
+2. ITQ: on a bounded sample (at most SAMPLE vectors, those with the smallest hash of the id: a
    documented bound) the vectors are centred, turned to principal axes, and a rotation is learned that
    brings them nearest to the corners of a cube, so that signs are balanced binary codes. Several
-   rotations from different starts give independent codes.
-2. Every vector is encoded. Codes are cut into substrings of ``bits`` bits; two vectors of one label that
+   rotations from different starts give independent codes; where vectors have fewer dimensions than a code has bits,
+   a code is put together from several of them.
+3. Every vector is encoded. Codes are cut into substrings of ``bits`` bits; two vectors of one label that
    agree on a whole substring meet in that table's bucket. ``bits`` grows with the logarithm of the
    largest label, so buckets stay small, and the number of tables is set so that a pair exactly at the
    threshold is missed in all of them with odds under MISS. How often the bits of such pairs agree is
    measured on pairs made around sample vectors, as centring drives pairs apart where vectors have
    a common direction. Past MOST_TABLES tables, substrings get shorter; where even the shortest need
    more, all vectors of a label are compared: exact, and quadratic in its size.
-3. Buckets are compared block against block (at most BLOCK vectors a side) with the original vectors in
+4. Buckets are compared block against block (at most BLOCK vectors a side) with the original vectors in
    double precision. A pair counts in the first table in which it meets, so links are counted once
    and never listed: a block returns a count per vector and one link per vector into its local
    component. Components are formed from those.
 
 Defined cases: null ids keep a row without links; vectors that are null, empty, zero or hold null or non-finite
-components, and rows with a null label, link with nothing; vectors of different lengths aren't compared; of rows
-that repeat a vec_id the smallest (label, vector) counts; an empty table gives no rows; extra columns are ignored.
+components, and rows with a null label, link with nothing; vectors of different lengths aren't compared; a row that
+repeats a vec_id is a vector of its own, with a row of its own, and links with the others by its own label and vector;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,8 +69,8 @@ def itq(x: np.ndarray, c: int, seed: int, rounds: int = 40) -> np.ndarray:
     rng = np.random.default_rng(seed)
     d = x.shape[1]
     _, _, axes = np.linalg.svd(x, full_matrices=True) if len(x) <= d else (0, 0, np.linalg.eigh(x.T @ x)[1].T[::-1])
-    if c > d:  # few dimensions: more hyperplanes than axes
-        return rng.standard_normal((d, c))
+    if c > d:  # few dimensions: rotations from several starts, side by side
+        return np.concatenate([itq(x, d, (seed + 1) * 1000 + k, rounds) for k in range(-(-c // d))], axis=1)[:, :c]
     w = axes[:c].T
     v = x @ w
     r = np.linalg.qr(rng.standard_normal((c, c)))[0]
@@ -126,14 +129,14 @@ def learn(sample: np.ndarray, largest: int, cosine: float = COSINE) -> Codes:
     return Codes(mean, turns, bits, tables)
 
 
-def compare(t: pa.Table, cosine: float) -> pa.Table | None:
-    """Links counted per vector of a block pair, and each linked vector's smallest id in the block pair's local component."""
-    ids, block = t.column("vec_id").to_numpy(), t.column("block").to_numpy()
+def compare(t: pa.Table, cosine: float, kind: str) -> pa.Table | None:
+    """Rows linked to each node of a block pair, and each linked node's smallest nid in the block pair's local component."""
+    ids, rows, block = (t.column(c).to_numpy() for c in ("nid", "n_rows", "block"))
     table, low, high = (int(t.column(c)[0].as_py()) for c in ("tab", "bi", "bj"))
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     if not len(left) or not len(right):
         return None
-    x = np.frombuffer(b"".join(t.column("x").to_pylist()), dtype=np.float64).reshape(t.num_rows, -1)
+    x = _scaled(np.frombuffer(b"".join(t.column("x").to_pylist()), dtype=kind).reshape(t.num_rows, -1).astype(np.float64))
     codes = t.column("codes").chunk(0).flatten().to_numpy().reshape(t.num_rows, -1)
     close = x[left] @ x[right].T >= cosine
     if low == high:
@@ -145,9 +148,9 @@ def compare(t: pa.Table, cosine: float) -> pa.Table | None:
         i, j = i[new], j[new]
     if not len(i):
         return None
-    count = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+    count = np.bincount(i, rows[j], minlength=len(ids)) + np.bincount(j, rows[i], minlength=len(ids))
     root = ids.copy()
-    while True:  # smallest id over links, by rounds
+    while True:  # smallest nid over links, by rounds
         before = root.copy()
         least = np.minimum(root[i], root[j])
         np.minimum.at(root, i, least)
@@ -155,66 +158,80 @@ def compare(t: pa.Table, cosine: float) -> pa.Table | None:
         if (root == before).all():
             break
     own = count > 0
-    return pa.table({"vec_id": ids[own], "n": count[own].astype(np.int64), "root": root[own]})
+    return pa.table({"nid": ids[own], "n": count[own].astype(np.int64), "root": root[own]})
 
 
-def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n, root): partial link counts and links into local components. ``vectors``: vec_id, label, embedding."""
-    finite = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
-    some = F.exists("embedding", lambda e: e != 0)
-    good = vectors.where("vec_id IS NOT NULL AND label IS NOT NULL").where(F.coalesce(finite & some, F.lit(False)))
-    good = good.select("vec_id", "label", F.size("embedding").alias("d"), F.col("embedding").cast("array<double>").alias("v"))
-    groups = good.groupBy("label", "d").agg(F.count("*").alias("n"))
-    widest = groups.agg(F.max("d"), F.max("n")).first()
-    empty = "vec_id long, n long, root long"
+def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(nid, n, root): partial counts of linked rows, and links into local components. ``nodes``: nid, label, embedding (good vectors), n_rows."""
+    kind = "float" if nodes.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    good = nodes.select("nid", "label", F.size("embedding").alias("d"), "n_rows", F.col("embedding").cast(f"array<{kind}>").alias("v"))
+    kind = "<f4" if kind == "float" else "<f8"
+    widest = good.groupBy("label", "d").agg(F.count("*").alias("n")).agg(F.max("d"), F.max("n")).first()
+    empty = "nid long, n long, root long"
     if widest[0] is None:
-        return vectors.sparkSession.createDataFrame([], empty)
+        return nodes.sparkSession.createDataFrame([], empty)
     d, largest = widest
-    sample = good.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toArrow().column("v").to_pylist()
-    model = vectors.sparkSession.sparkContext.broadcast(learn(_unit(sample, d), largest, cosine))
+    sample = good.orderBy(F.xxhash64("nid")).limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
+    model = nodes.sparkSession.sparkContext.broadcast(learn(_unit(sample, d), largest, cosine))
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
-                x = _unit(part.column(3).to_pylist(), d)
-                codes = pa.array(list(model.value.substrings(x)), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(3)], pa.array([r.tobytes() for r in x], pa.binary()), codes], ["vec_id", "label", "d", "x", "codes"])
+                rows = part.column(4).to_pylist()
+                codes = model.value.substrings(_unit(rows, d)).astype(np.int32)
+                codes = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32), codes.ravel())
+                x = pa.array([np.pad(np.array(r, dtype=kind), (0, d - len(r))).tobytes() for r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(4)], x, codes], ["nid", "label", "d", "n_rows", "x", "codes"])
 
     label = good.schema["label"].dataType.simpleString()
-    coded = cut(good.mapInArrow(encode, f"vec_id long, label {label}, d int, x binary, codes array<long>"), "codes")
+    coded = cut(good.mapInArrow(encode, f"nid long, label {label}, d int, n_rows long, x binary, codes array<int>"), "codes")
     keys = ["tab", "label", "d", "code"]
-    spread = coded.select("vec_id", "label", "d", F.posexplode("codes").alias("tab", "code"))
+    spread = coded.select("nid", "label", "d", F.posexplode("codes").alias("tab", "code"))
     sizes = spread.groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    met = spread.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("vec_id", "tab"), blocks).cast("int"))
+    met = spread.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("nid", "tab"), blocks).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
-    met = met.join(coded.select("vec_id", "x", "codes"), "vec_id")
+    met = met.join(coded.select("nid", "n_rows", "x", "codes"), "nid")
     where = [*keys, "bi", "bj"]
-    return in_groups(met.select(*where, "block", "vec_id", "x", "codes"), where, lambda t: compare(t, cosine), empty)
+    return in_groups(met.select(*where, "block", "nid", "n_rows", "x", "codes"), where, lambda t: compare(t, cosine, kind), empty)
 
 
 def _unit(rows: list, d: int) -> np.ndarray:
     x = np.zeros((len(rows), d))
     for k, r in enumerate(rows):
         x[k, : len(r)] = r
-    x /= np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)  # no overflow of squares
+    return _scaled(x)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    x = x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)  # no overflow of squares
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per vector."""
-    rows = vectors.select(F.col("vec_id").cast("long"), "label", "embedding")
-    named = rows.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("r")).select("vec_id", "r.*")
-    named = cut(named, "vectors")
-    found = cut(links(named, cosine), "vector-links")
-    comp = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).distinct(), "vector-components")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links")).join(comp.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    out = named.select("vec_id").join(counts, "vec_id", "left").withColumn("component_id", F.coalesce("component", "vec_id"))
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    nulls = rows.where("vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(nulls)
+    finite = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+    some = F.exists("embedding", lambda e: e != 0)
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & some, F.lit(False))
+    rows = vectors.select(F.col("vec_id").cast("long"), "label", "embedding").withColumn("good", good)
+    same = [F.xxhash64("label", "embedding"), F.xxhash64("embedding", "label", F.lit(1))]
+    rows = rows.select("vec_id", "label", "embedding", *[F.when(F.col("good"), h).alias(f"h{k}") for k, h in enumerate(same)])
+    nodes = rows.where("h0 IS NOT NULL").groupBy("h0", "h1").agg(
+        F.min("vec_id").alias("least"), F.count("*").alias("n_rows"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
+    )
+    nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()), "vectors")
+    found = cut(links(nodes, cosine), "vector-links")
+    comp = components(found.select(F.col("nid").alias("a"), F.col("root").alias("b")).distinct(), "vector-components").withColumnRenamed("id", "nid")
+    near = nodes.select("nid", "h0", "h1", "least", "n_rows").join(comp, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+    least = near.groupBy("component").agg(F.min("least").alias("component_id"))
+    counts = found.groupBy("nid").agg(F.sum("n").alias("n"))
+    near = near.join(least, "component").join(counts, "nid", "left")
+    near = near.select("h0", "h1", "component_id", (F.coalesce("n", F.lit(0)) + F.col("n_rows") - 1).alias("n_links"))
+    out = rows.select("vec_id", "h0", "h1").join(near, ["h0", "h1"], "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def query(vectors: DataFrame) -> DataFrame:
