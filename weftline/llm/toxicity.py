@@ -6,22 +6,21 @@ the lengths says which kind of text it is nearer to.
 
 Training text: byte 5-grams within words are counted by documents of the labelled sample. Where toxic
 documents hold a gram far more often than ordinary ones do (a z-score, and RATIO times as often), it is
-characteristic; runs of such grams are the pieces of toxic text. zstandard trains the ordinary
-dictionary on windows of ordinary documents. The toxic dictionary is made of the toxic pieces and, after
-them, the same prose, so that chance matches in ordinary prose cost the same in either and cancel.
+characteristic; the runs of such grams are the samples on which zstandard trains the toxic dictionary. It trains the ordinary
+one on all windows of ordinary documents. Toxic documents are mostly ordinary prose as well, so windows are
+compressed with the ordinary dictionary alone and with both, the toxic one in front: what both hold costs the same and cancels.
 
 Calibration: logistic regression on the documents' largest and summed differences, fitted across two
 folds (each measured with dictionaries trained on the other), gives the probability of label 1; the threshold of the query is 0.3.
 
-Fit: at most PER_LABEL rows a label outside the held-out fold, those with the smallest hash of the id (a
-documented, bounded sample). Every row is scored over its whole text. Defined cases: null and empty texts get the
+Fit: at most PER_LABEL rows a label outside the held-out fold, those with the smallest hash of the id, and of them the texts of up
+to FIT_BYTES bytes (a documented, bounded sample). Every row is scored over its whole text. Defined cases: null and empty texts get the
 score of a document without a window that differs; without labelled rows of both kinds the score is the share of
 label 1 (0 if there are none); repeated labels of an id with different values are not learned from; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,10 +30,11 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, held_out_by
+from .common import FIT_BYTES, hash_sample, held_out_by
 
 PER_LABEL, WINDOW, STRIDE, GRAM = 2500, 256, 248, 5
-BACKGROUND, PIECES = 16_384, 8_192
+#: Bytes asked of zstandard for either dictionary, and its parameters for the short samples of the toxic one.
+DICTIONARY, SEGMENT, DMER = 16_384, 32, 6
 Z_LEAST, RATIO = 5.0, 20.0
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BREAKS = bytes.maketrans(b"\t\n\r\v\f", b"     ")
@@ -115,37 +115,28 @@ def characteristic(own: list[bytes], other: list[bytes]) -> np.ndarray:
     return g[within & (z >= Z_LEAST) & (p >= RATIO * q) & (n >= 3)]
 
 
-def pieces(texts: list[bytes], grams: np.ndarray, most: int) -> bytes:
-    """Runs of characteristic grams in the texts, without repeating a gram, the most frequent last, up to ``most`` bytes."""
-    if not len(grams):
-        return b""
-    found: Counter[bytes] = Counter()
-    for t in texts:
+def pieces(texts: list[bytes], grams: np.ndarray) -> list[bytes]:
+    """The runs of characteristic grams in the texts."""
+    out: list[bytes] = []
+    for t in texts if len(grams) else ():
         g = _grams(t)
         hit = np.flatnonzero(grams[np.minimum(np.searchsorted(grams, g), len(grams) - 1)] == g)
-        runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else []
         padded = b" " + t + b" "
-        found.update({padded[r[0] : r[-1] + GRAM] for r in runs if len(r)})
-    kept: list[bytes] = []
-    size = 0
-    covered: set[bytes] = set()
-    for piece, n in sorted(found.items(), key=lambda x: (-x[1] * len(x[0]), x[0])):
-        new = [k for k in range(len(piece) - GRAM + 1) if piece[k : k + GRAM] not in covered]
-        if n >= 2 and new:
-            part = piece[new[0] : new[-1] + GRAM]
-            if size + len(part) <= most:
-                covered.update(piece[k : k + GRAM] for k in new)
-                kept.append(part)
-                size += len(part)
-    return b"".join(reversed(kept))
-
-
-def background(texts: list[bytes]) -> bytes:
-    samples = [w for t in texts for w in windows(t)]
-    try:
-        return zstd.train_dictionary(BACKGROUND, samples).as_bytes()
-    except zstd.ZstdError:  # too few samples to train on: the samples themselves
-        return b"".join(samples)[-BACKGROUND:]
+        if len(hit):
+            out += [padded[r[0] : r[-1] + GRAM] for r in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)]
+    return out
+
+
+def trained(samples: list[bytes], **parameters: int) -> bytes:
+    """A dictionary trained by zstandard: of DICTIONARY bytes, or of less where the samples don't give so many. Samples
+    too few for any training are their own dictionary, whole."""
+    size = DICTIONARY
+    while samples and size >= 256:
+        try:
+            return zstd.train_dictionary(size, samples, **parameters).as_bytes()
+        except zstd.ZstdError:
+            size //= 2
+    return b"".join(samples)
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
@@ -170,8 +161,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 def dictionaries(data: list[bytes], y: np.ndarray) -> Model:
     toxic, ordinary = [d for d, t in zip(data, y, strict=True) if t], [d for d, t in zip(data, y, strict=True) if not t]
-    base = background(ordinary)
-    return Model(pieces(toxic, characteristic(toxic, ordinary), PIECES) + base, base)
+    base = trained([w for t in ordinary for w in windows(t)])
+    return Model(trained(pieces(toxic, characteristic(toxic, ordinary)), k=SEGMENT, d=DMER) + base, base)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
@@ -198,7 +189,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int
     if not ids:
         return [], [], 0.0
     picked = spark.createDataFrame([(r["doc_id"], int(r["y"])) for r in ids], "doc_id long, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").collect()
+    slim = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES)
+    rows = slim.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").collect()
     rows = sorted({(r["doc_id"], r["y"], r["text"] or "") for r in rows})
     order = np.random.default_rng(5).permutation(len(rows))
     return [rows[i][2] for i in order], [rows[i][1] for i in order], counts.get(1, 0) / max(sum(counts.values()), 1)
