@@ -9,8 +9,8 @@
 3. A two-layer network in numpy gives a logit; a temperature fitted on a part of the sample that the network didn't
    see calibrates the probability of label 1. The share of labels among all labelled rows sets the prior.
 
-Fit: at most PER_LABEL rows a label outside the held-out fold, those with the smallest hash of the id (a documented,
-bounded sample). Every row is scored over its whole text. Defined cases: null and empty texts are pooled to zeros and
+Fit: at most PER_LABEL rows a label outside the held-out fold, those with the smallest hash of the id, and of them the texts of up
+to FIT_BYTES bytes (a documented, bounded sample). Every row is scored over its whole text. Defined cases: null and empty texts are pooled to zeros and
 scored as such; without labelled rows of both kinds the score is the share of label 1 (0 if there are none);
 labels of an id that contradict each other are not learned from; extra columns are ignored.
 """
@@ -39,7 +39,7 @@ _RUNS = re.compile(r"(.)\1+")
 def shape(token: str) -> str:
     if not token.isascii():
         token = "".join(c if c.isascii() else "A" if c.isupper() else "a" if c.isalpha() else "?" for c in token)
-    return _RUNS.sub(r"\1", token.translate(_SHAPE))[:12]
+    return _RUNS.sub(r"\1", token.translate(_SHAPE))
 
 
 def index_vector(token: str, size: int) -> np.ndarray:
