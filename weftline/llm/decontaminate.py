@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, unused
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -150,8 +150,9 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 5, window:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a hit, all columns kept."""
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    own, th = unused(docs.columns, "_doc", "_hash")
+    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias(own), F.col("th").alias(th)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(th)), "left_anti")
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
