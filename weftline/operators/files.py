@@ -45,9 +45,14 @@ def pruned(nodes: DataFrame, edges: DataFrame, text: str, descendants: int, ance
     return nodes.join(prune.kept_ids(roots(nodes, text), edges, descendants, ancestors), "id", "left_semi")
 
 
+def degrees(graph: DataFrame) -> DataFrame:
+    """(path, id, out_degree, in_degree) of every end of an edge: one count over both ends."""
+    ends = code.graph_rows(graph, "edges").select("path", F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    return ends.groupBy("path", "e.id").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
+
+
 def stats(graph: DataFrame) -> DataFrame:
-    """(path, line, label, out_degree, in_degree) of every node; local to a file, so nothing is exchanged."""
-    rows = graph.select("path", F.explode("nodes").alias("n"), F.col("edges").alias("e"))
-    degree = lambda end: F.size(F.filter("e", lambda x: x[end] == F.col("n.id"))).cast("long")
-    label = F.concat(F.col("path"), F.lit(":"), F.col("n.line").cast("string"), F.when(F.col("n.unused"), " unused ").otherwise(" "), F.col("n.name"))
-    return rows.select("path", F.col("n.line").alias("line"), label.alias("label"), degree("src").alias("out_degree"), degree("dst").alias("in_degree"))
+    """(path, line, label, out_degree, in_degree) of every node. Give graphs that are written or cached: they are read twice."""
+    rows = code.graph_rows(graph, "nodes").join(degrees(graph), ["path", "id"], "left").fillna(0, ["out_degree", "in_degree"])
+    label = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.when(F.col("unused"), " unused ").otherwise(" "), F.col("name"))
+    return rows.select("path", "line", label.alias("label"), "out_degree", "in_degree")

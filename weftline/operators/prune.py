@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .reach import bfs
+from .reach import pairs, search
 
 
 def kept_ids(roots: DataFrame, edges: DataFrame, descendants: int, ancestors: int) -> DataFrame:
-    down, up = bfs(roots, edges, descendants), bfs(roots, edges, ancestors, forward=False)
+    steps = pairs(edges)
+    down, up = search(roots, steps, descendants), search(roots, steps, ancestors, forward=False)
     return down.select("id").union(up.select("id")).distinct()
 
 

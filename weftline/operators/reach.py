@@ -1,7 +1,7 @@
 """Reachability over an edge table: level by level, with the visited nodes taken out before each step.
 
-The frontier is the small side of every join and the edges are never collected; a step costs one
-exchange of the frontier and one of the edges by their end (none where they are bucketed by it).
+The edges are written once as pairs, so that no level reads or shuffles their source again. A frontier of up to
+BROADCAST_IDS is broadcast, and only the ids that it finds are exchanged; a larger one is joined by a shuffle. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -13,29 +13,48 @@ from ..plans.lineage import settled
 
 #: Radii beyond a signed 32-bit number act as 0.
 MOST = 2**31 - 1
+#: So many ids of a frontier, or of the visited nodes, are broadcast.
+BROADCAST_IDS = 200_000
+
+
+def pairs(edges: DataFrame) -> DataFrame:
+    """The ends of the edges, written once for any number of searches."""
+    return settled(edges.select("src", "dst"))
 
 
 def bfs(seeds: DataFrame, edges: DataFrame, radius: int | None, forward: bool = True) -> DataFrame:
     """(id, depth): everything within ``radius`` steps of the seeds (id), seeds at 0; no bound if ``radius`` is None."""
+    return search(seeds, pairs(edges), radius, forward)
+
+
+def search(seeds: DataFrame, steps: DataFrame, radius: int | None, forward: bool = True) -> DataFrame:
+    """``bfs`` over the pairs of ``pairs``."""
     if radius is not None and radius > MOST:
         radius = 0
     near, far = ("src", "dst") if forward else ("dst", "src")
-    steps = edges.select(F.col(near).alias("id"), F.col(far).alias("next")).distinct()
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
-    frontier, depth = seen, 0
-    while radius is None or depth < radius:
+    steps = steps.select(F.col(near).alias("id"), F.col(far).alias("next"))
+    seen = frontier = settled(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    new = visited = frontier.count()
+    depth = 0
+    while new and (radius is None or depth < radius):
         depth += 1
-        found = frontier.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
+        found = steps.join(_side(frontier.select("id"), new), "id").select(F.col("next").alias("id")).distinct()
+        found = found.join(_side(seen.select("id"), visited), "id", "left_anti")
         frontier = settled(found.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
+        new = frontier.count()
+        visited += new
         seen = seen.unionByName(frontier)
     return seen
 
 
+def _side(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
 def between(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids on a path from left to right or from right to left."""
-    reach = lambda seeds, forward: bfs(seeds, edges, None, forward).select("id")
+    steps = pairs(edges)
+    reach = lambda seeds, forward: search(seeds, steps, None, forward).select("id")
     one = reach(left, True).intersect(reach(right, False))
     return one.union(reach(right, True).intersect(reach(left, False))).distinct()
 

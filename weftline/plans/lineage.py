@@ -12,10 +12,12 @@ _own: list[str] = []
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in ``spark.checkpoint.dir``, or in a folder of our own where that is unset (one machine, tests)."""
+    """``df`` checkpointed in ``spark.checkpoint.dir``, in the checkpoint folder set before, or in one of our own where there is none and the master is local (tests)."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not _own:
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own.append(tempfile.mkdtemp(prefix="weftline-loop-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{_own[0]}")
+        atexit.register(shutil.rmtree, _own[-1], ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{_own[-1]}")
     return df.checkpoint()

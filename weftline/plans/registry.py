@@ -60,10 +60,9 @@ def edge_labels(spark: SparkSession, d: str) -> DataFrame:
     return g.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", label.alias("label"))
 
 
-@query(f"WITH {g.GRAPH_SQL} SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS targets FROM (SELECT DISTINCT src, dst FROM edges) GROUP BY src")
+@query(f"WITH {g.GRAPH_SQL} SELECT DISTINCT src, dst FROM edges")
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
-    out = g.edges(spark, d).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("t"))
-    return out.select("src", F.array_join(F.transform("t", lambda x: x.cast("string")), ",").alias("targets"))
+    return g.edges(spark, d).select("src", "dst").distinct()
 
 
 @query(f"WITH RECURSIVE {g.GRAPH_SQL}, {ROOT_SQL}, {WALK.format(down=2, up=0)} SELECT id, min(depth)::INT AS depth FROM down GROUP BY id")
@@ -226,16 +225,9 @@ def inline_scripts(spark: SparkSession, d: str) -> DataFrame:
     return g.read(spark, d, "pages").select("page_id", F.explode(found).alias("script"))
 
 
-@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
-def event_props(spark: SparkSession, d: str) -> DataFrame:
-    return g.read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-@query(f"WITH {g.GRAPH_SQL} SELECT src, string_agg('  n' || src || ' -->|' || label || '| n' || dst, chr(10) ORDER BY ord, dst, label) AS text FROM edges GROUP BY src")
+@query(f"WITH {g.GRAPH_SQL} SELECT src, ord, '  n' || src || ' -->|' || label || '| n' || dst AS text FROM edges")
 def flow_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = F.format_string("  n%d -->|%s| n%d", F.col("src"), edges.escaped(F.col("label")), F.col("dst"))
-    rows = g.edges(spark, d).groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ord", "dst", "label", lines.alias("t")))).alias("a"))
-    return rows.select("src", F.array_join("a.t", "\n").alias("text"))
+    return edges.edge_lines(g.edges(spark, d))
 
 
 @query("SELECT n_nationkey, 'L' || n_nationkey || CASE WHEN n_regionkey <> 0 THEN '-' || (n_nationkey + n_regionkey) ELSE '' END AS label FROM nation")
@@ -357,11 +349,9 @@ def script_edges(spark: SparkSession, d: str) -> DataFrame:
   'ret_use_ref_' || CASE WHEN two THEN 6 ELSE 5 END, 'expr_stmt_' || at_call, CASE WHEN two THEN 'wr_ref_3' END]) AS id FROM p)
 SELECT path, id, (SELECT count(*) FROM e WHERE e.path = n.path AND e.src = n.id) AS n_out, (SELECT count(*) FROM e WHERE e.path = n.path AND e.dst = n.id) AS n_in FROM n WHERE id IS NOT NULL""")
 def script_degrees(spark: SparkSession, d: str) -> DataFrame:
-    graph = code.file_graphs(_programs(spark, d))
-    e = F.col("edges")
-    rows = graph.select("path", F.explode("nodes.id").alias("id"), e.alias("e"))
-    count = lambda end: F.size(F.filter("e", lambda x: x[end] == F.col("id"))).cast("long")
-    return rows.select("path", "id", count("src").alias("n_out"), count("dst").alias("n_in"))
+    graph = settled(code.file_graphs(_programs(spark, d)).select("path", "nodes", "edges"))
+    rows = graph.select("path", F.explode("nodes.id").alias("id")).join(files.degrees(graph), ["path", "id"], "left").fillna(0)
+    return rows.select("path", "id", F.col("out_degree").alias("n_out"), F.col("in_degree").alias("n_in"))
 
 
 @query(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<script>([^<]*(?:<[^/][^<]*|</[^s][^<]*)*)</script>', 1)) AS script FROM pages)
@@ -387,7 +377,7 @@ UNION ALL SELECT path, 'n_scope_' || fn || '_x_' || (at_show + 5), CASE WHEN two
 UNION ALL SELECT path, 'expr_stmt_' || at_call, CASE WHEN two THEN 11 ELSE 9 END, 'show()' FROM p)
 SELECT path, line, path || ':' || line || ' ' || name AS label, (SELECT count(*) FROM e WHERE e.path = n.path AND e.src = n.id) AS out_degree, (SELECT count(*) FROM e WHERE e.path = n.path AND e.dst = n.id) AS in_degree FROM n""")
 def script_stats(spark: SparkSession, d: str) -> DataFrame:
-    return files.stats(code.file_graphs(_programs(spark, d)))
+    return files.stats(settled(code.file_graphs(_programs(spark, d)).select("path", "nodes", "edges")))
 
 
 def script_diagrams(spark: SparkSession, d: str) -> DataFrame:
