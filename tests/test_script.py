@@ -276,3 +276,27 @@ def test_a_part_keeps_the_subgraphs_of_its_nodes():
     own = part(t, around(t, {"n_scope_1_x_11"}, 1, 0))
     assert [s["kind"] for s in own["subgraphs"]] == ["function", "return"] and [e["label"] for e in own["edges"]] == ["read"]
     assert tree(own)[0]["elements"][1]["elements"][0]["kind"] == "ReturnArgumentReference"
+
+
+def test_deep_files_give_tables(spark):
+    """Long sums and call chains, deep arrays and else-ifs are analysed; what fails in any other way gives a row with an error."""
+    from weftline.sources import code
+
+    texts = {
+        "sum": "const s = " + " + ".join(f'"a{i}"' for i in range(10000)) + ";", "chain": "x" + ".a()" * 5000 + ";",
+        "arrays": "const a = " + "[" * 2000 + "]" * 2000 + ";", "ifs": "let v = 1;\n" + " else ".join(f"if (v === {i}) {{ f({i}); }}" for i in range(600)), "bad": "const = ;",
+    }
+    rows = spark.createDataFrame([(f"{k}.ts", t) for k, t in texts.items()], "path string, text string")
+    out = {r["path"]: r for r in code.analysed(rows).select("path", "error", "scopes.id").collect()}
+    assert out["bad.ts"]["error"] and all(out[f"{k}.ts"]["error"] is None and out[f"{k}.ts"]["id"] for k in texts if k != "bad")
+    got = {r["path"]: r for r in code.file_graphs(rows.where("path <> 'ifs.ts'")).collect()}
+    assert len(got) == 4 and len(got["chain.ts"]["edges"]) == 1
+
+
+def test_a_failing_file_fails_no_job(monkeypatch):
+    from weftline.sources import code
+    from weftline.sources.script import bind
+
+    monkeypatch.setattr(bind, "analyse", lambda *a: 1 / 0)
+    row = code._analyse({"path": "a.ts", "language": "ts", "module": True, "text": "x"})
+    assert "ZeroDivisionError" in row["error"] and row["scopes"] == []

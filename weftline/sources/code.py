@@ -1,11 +1,14 @@
 """Script files as tables: one map over files, no exchange; the tables are columns of one row a file and explode from it.
 
-A file that doesn't parse gives a row with ``error`` and empty tables, so that one bad file fails no job.
+A file that doesn't parse, or fails in any other way, gives a row with ``error`` and empty tables, so that one bad file fails no
+job. Parser, binder and graph follow the nesting of a file by calls that live on the heap, so they may go as deep as FRAMES.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +87,20 @@ def _spread(files: DataFrame, partitions: int | None) -> DataFrame:
     return own.repartition(partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
+#: Python frames that the analysis of one file may stack up; about half a kilobyte each.
+FRAMES = 400_000
+
+
+@contextmanager
+def _deep() -> Iterator[None]:
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, FRAMES))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def _analyse(r: dict) -> dict:
     from .script.bind import analyse
     from .script.syntax import SyntaxFault
@@ -93,16 +110,24 @@ def _analyse(r: dict) -> dict:
     if language is None:
         return row | {"error": f"Unsupported extension: {path}"}
     try:
-        return row | analyse(r["text"] or "", language, bool(r["module"]))
+        with _deep():
+            return row | analyse(r["text"] or "", language, bool(r["module"]))
     except SyntaxFault as fault:
         return row | {"error": f"Parse error in {path}: {fault} at {fault.at}"}
+    except Exception as fault:  # noqa: BLE001  a file's own row tells of it
+        return row | {"error": f"Analysis of {path} failed: {type(fault).__name__}: {fault}"}
 
 
 def _graph(r: dict) -> dict:
     from .script.flow import Graph, diagram
 
-    t = Graph(r).tables() if r["scopes"] else {"nodes": [], "subgraphs": [], "edges": []}
-    return {"path": r["path"], **t, "diagram": diagram(t)}
+    nothing: dict = {"nodes": [], "subgraphs": [], "edges": []}
+    try:
+        with _deep():
+            t = Graph(r).tables() if r["scopes"] else nothing
+            return {"path": r["path"], **t, "diagram": diagram(t)}
+    except RecursionError:  # deeper than FRAMES: an empty graph
+        return {"path": r["path"], **nothing, "diagram": diagram(nothing)}
 
 
 def _mapped(rows: DataFrame, one: Callable[[dict], dict], schema: str) -> DataFrame:
