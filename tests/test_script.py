@@ -130,7 +130,7 @@ def test_renamed_imports_read_a_shared_node():
 
 
 def test_diagram_wraps_owned_functions():
-    text = diagram(Graph(ir("const f = (x) => { return x };\nf(1);\n")).tables())
+    text = diagram(Graph(ir("const f = (x) => { return x };\nf(1);\n")).tables(), False)
     assert text == """flowchart RL
   subgraph wrap_s_scope_1[" "]
     direction TB
@@ -260,7 +260,7 @@ def test_command_line(tmp_path, capsys):
     code_, out = run("-f", "stats", "-r", "b", "-A", "1")
     assert code_ == 0 and out.out.splitlines() == [f"1\t0\t{source}:2 b", f"0\t1\t{source}:3 c", "1\t1\t2 total"] and "L5:0" in out.err
     assert [e["src"] for e in json.loads(run("-f", "json")[1].out)["edges"]] == ["n_scope_0_a_6", "n_scope_0_b_19", "n_scope_0_c_32"]
-    assert run("-r", "c", "-C", "0")[1].out == 'flowchart RL\n  n_scope_0_c_32["c<br/>L3"]\n'
+    assert run("-r", "c", "-C", "0", "--mermaid-renderer", "dagre")[1].out == 'flowchart RL\n  n_scope_0_c_32["c<br/>L3"]\n'
     assert "## Query\n\n```\n-r b -C 10\n```" in run("-f", "markdown", "-r", "b")[1].out
     assert run("--out-dir", str(tmp_path / "x"), "-r", "b", "-B", "2")[0] == 0 and (tmp_path / "x" / "b-b2.mmd").exists()
     assert json.loads(run("-f", "ir", "-r", "b")[1].out)["variables"][0]["name"] == "a"
@@ -300,3 +300,13 @@ def test_a_failing_file_fails_no_job(monkeypatch):
     monkeypatch.setattr(bind, "analyse", lambda *a: 1 / 0)
     row = code._analyse({"path": "a.ts", "language": "ts", "module": True, "text": "x"})
     assert "ZeroDivisionError" in row["error"] and row["scopes"] == []
+
+
+def test_empty_subgraphs_have_a_stand_in():
+    t = Graph(ir("const f = () => {};\n")).tables()
+    plain, layered = diagram(t, False).split("\n"), diagram(t).split("\n")
+    (empty,) = [s["id"] for s in t["subgraphs"] if s["kind"] == "function"]
+    assert plain[0] == "flowchart RL" and layered[1] == "flowchart RL" and layered[0].startswith("%%{init")
+    added = [line.strip() for line in layered if line not in plain]
+    assert added[1:] == [f'elk_empty_{empty}["No nodes"]', "classDef elkEmptyPlaceholder fill:transparent,stroke:transparent;", f"class elk_empty_{empty} elkEmptyPlaceholder;"]
+    assert [line for line in layered if line not in added and line.strip() not in added] == plain

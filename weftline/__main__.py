@@ -35,6 +35,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--stdin", action="store_true")
     p.add_argument("--stdin-lang", choices=["ts", "tsx", "js", "jsx"], default="ts")
     p.add_argument("-f", "--format", choices=sorted(EXTENSIONS), default="mermaid")
+    p.add_argument("--mermaid-renderer", choices=["dagre", "elk"], default="elk")
     p.add_argument("-r", "--roots")
     p.add_argument("-A", "--descendants", type=count)
     p.add_argument("-B", "--ancestors", type=count)
@@ -105,8 +106,8 @@ def main(argv: list[str] | None = None) -> int:
         "ir": lambda: json.dumps({"path": path, "language": LANGUAGES[extension], "text": text, **ir}, ensure_ascii=False) + "\n",
         "json": lambda: json.dumps({"path": path, "direction": "RL", "elements": flow.tree(tables), "edges": [{k: e[k] for k in ("src", "dst", "label")} for e in tables["edges"]]}, ensure_ascii=False) + "\n",
         "stats": lambda: flow.statistics(tables, path),
-        "mermaid": lambda: flow.diagram(tables),
-        "markdown": lambda: flow.markdown(path, extension, text, warnings, naming.query_flags(a.roots, *(radius(a.descendants, a.ancestors, a.context) if a.roots else (None, None)), None), flow.diagram(tables)),
+        "mermaid": lambda: flow.diagram(tables, a.mermaid_renderer == "elk"),
+        "markdown": lambda: flow.markdown(path, extension, text, warnings, naming.query_flags(a.roots, *(radius(a.descendants, a.ancestors, a.context) if a.roots else (None, None)), None), flow.diagram(tables, a.mermaid_renderer == "elk")),
     }[a.format]()
     target = a.out_file
     if a.out_dir:

@@ -430,18 +430,27 @@ def subgraph_text(s: dict) -> str:
     return f"{title} {lines_of(s)}"
 
 
-def diagram(t: dict) -> str:
-    """The flowchart of a graph's tables; nodes before subgraphs, late statement nodes and import edges at the end."""
+# fixed values of the layered renderer: the line before the chart, the stand-in for a subgraph without nodes, and its colours
+LAYERED = '%%{init: {"flowchart": {"defaultRenderer": "elk"}}}%%'
+EMPTY_ID, EMPTY_TEXT, EMPTY_CLASS = "elk_empty_", "No nodes", "elkEmptyPlaceholder"
+EMPTY_FILL, EMPTY_STROKE = "transparent", "transparent"
+
+
+def diagram(t: dict, layered: bool = True) -> str:
+    """The flowchart of a graph's tables; nodes before subgraphs, late statement nodes and import edges at the end.
+
+    The layered renderer can't draw a subgraph without nodes: such get a node that can't be seen."""
     nodes, groups, owned = {}, {}, {s["owner"] for s in t["subgraphs"] if s["owner"]}
     known = {n["id"]: n for n in t["nodes"]}
     for n in t["nodes"]:
         nodes.setdefault(n["parent"], []).append(n)
     for s in t["subgraphs"]:
         groups.setdefault(s["parent"], []).append(s)
-    out = ["flowchart RL"]
+    out = [LAYERED] * layered + ["flowchart RL"]
+    empty: list[str] = []
 
     def inside(parent: str | None, depth: int) -> None:
-        pad = "  " * depth
+        pad, before = "  " * depth, len(out)
         out.extend(pad + node_text(n) for n in nodes.get(parent, []) if n["id"] not in owned and not (parent is None and n["kind"] in LATE))
         for s in groups.get(parent, []):
             d, wrap = depth, s["owner"] in known
@@ -453,6 +462,9 @@ def diagram(t: dict) -> str:
             out.append("  " * d + "end")
             if wrap:
                 out.append(pad + "end")
+        if layered and parent is not None and len(out) == before:
+            empty.append(f"{EMPTY_ID}{parent}")
+            out.append(f'{pad}{empty[-1]}["{EMPTY_TEXT}"]')
 
     inside(None, 1)
     imports = {n["id"] for n in t["nodes"] if n["kind"] == "SyntheticImportIntermediate"}
@@ -460,6 +472,8 @@ def diagram(t: dict) -> str:
     out += [line for late, line in text if not late]
     out += ["  " + node_text(n) for n in nodes.get(None, []) if n["kind"] in LATE]
     out += [line for late, line in text if late]
+    if empty:
+        out += [f"  classDef {EMPTY_CLASS} fill:{EMPTY_FILL},stroke:{EMPTY_STROKE};", *[f"  class {x} {EMPTY_CLASS};" for x in empty]]
     return "\n".join(out) + "\n"
 
 
