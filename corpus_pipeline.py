@@ -45,7 +45,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The kernel classifier and the hash splitters have no SQL; tests hold the pipeline against plain Python.
+#: The kernel classifier and the hash splitters have no SQL; tests/llm/test_pipeline.py holds the stages against plain rules.
 ORACLE_SQL = None
 
 
