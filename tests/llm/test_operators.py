@@ -337,6 +337,31 @@ def test_html_widgets_swallow_nothing(inner, expected):
     assert html.main_text(f"<html><body><article>{inner}</article></body></html>", [], []) == expected
 
 
+@pytest.mark.parametrize(
+    ("inner", "expected"),
+    [
+        ('<p>one</p><article class="comment"><p>nice</p></article><p>two</p>', "one\ntwo"),
+        ('<p>one</p><p class="ad">Buy<br>now</p><p>two</p><h3 class="related-posts">More</h3>three', "one\ntwo\nthree"),
+        ('<p>one</p><ul><li class="share">Share<li>two</ul><p class=lead>three</p>', "one\ntwo\nthree"),
+        ('<div class="side-effects">one</div><div class="search-results">two</div><div class="share-price">three</div>', "one\ntwo\nthree"),
+        ('<div class="side">no</div><div class="search-box">no</div><div class="share-buttons">no</div><div class="alert alert-info">no</div><div id="site-search">no</div>one', "one"),
+        ('<div class="has-sidebar"><p>one</p><div class="sidebar-left">no</div></div><div data-id="ads">two</div>', "one\ntwo"),
+        ('<table><tr><td class="search">one</td><td>two</td></tr></table>', "one\ntwo"),
+    ],
+)
+def test_html_leaves_out_parts_by_whole_names(inner, expected):
+    for name in ("article", "main"):
+        assert html.main_text(f"<html><body><{name}>{inner}</{name}></body></html>", [], []) == expected
+
+
+def test_html_without_article_keeps_paragraphs_around_the_longest_container(spark):
+    page = "<html><body><p>Welcome</p><div id=b><p>two {k}</p><section><p>deep text of page {k}, the longest part</p></section></div><div id=foot>Made by us</div></body></html>"
+    rows = [(k, "http://a.example/", page.replace("{k}", str(k))) for k in range(40)] + [(99, "http://b.example/", page.replace("{k}", "99"))]
+    out = html.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == "two {0}\ndeep text of page {0}, the longest part".format(r["page_id"]) for r in out)
+    assert html.main_text(page.replace("{k}", "7"), [], []) == "two 7\ndeep text of page 7, the longest part"
+
+
 @pytest.mark.parametrize("d", [24, 64, 128])
 def test_vectors(spark, d):
     """Links and components of every row against brute force, with copies and a repeated id."""

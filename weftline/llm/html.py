@@ -9,12 +9,13 @@ r"""Main text of web pages by template deduction from equivalence classes.
 3. A slot's text that is the same on nearly all pages though their articles differ belongs to
    the template, and is left out where a page has that very text. The main text is chosen by tag names:
    what stands in a page's ``article`` containers, without any in ``main``; without such a
-   container, in the container with the most text that varies over the host's pages.
+   container, in the container with the most text that varies over the host's pages, or the
+   outermost around it that holds varying paragraphs of its own.
 4. Every page is cut along its host's template and the text of the main slots is written out.
 
 Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and comments
-are left out by their tags and by the words in their ids and classes, inside the article too; the header
-of an article itself stays. Blocks are cut at block tags and ``br``.
+are left out by their tags and by the words in their ids and classes, inside the article too (paragraphs, headings and
+items that bear such a name, and articles that are comments or adverts); the header of an article itself stays. Blocks are cut at block tags and ``br``.
 
 Only counts of tokens and texts are exchanged, added up beforehand, never pages; a hot host costs no more.
 Defined cases: null or empty html gives an empty text; a page without a url is a host of its own kind
@@ -27,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -47,7 +49,7 @@ TAG = re.compile(
     r"|</?[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTR = re.compile(r"(?<![-\w])(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("html head body div section article main aside nav header footer form ul ol dl table figure blockquote fieldset dialog menu details".split())
@@ -59,18 +61,42 @@ FLOWING = frozenset("button select svg".split())
 LEAVES_SVG = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul article main section".split())
 COMPLETE = re.compile(r"(?:^|[\s\"'])/\s*$|^[^=]*/\s*$")
 DROPPED = frozenset("head nav footer aside form menu dialog fieldset".split())
-HINT = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login"
-    r"|sidebar|side|widget|menu|nav\w*|breadcrumbs?|pagination|pager|toolbar|share|sharing|social|related|recommend\w*|comments?|discussion|repl(?:y|ies)|respond|disqus"
-    r"|footer|masthead|topbar|search|complementary|contentinfo)(?=$|[-_\s])",
-    re.I,
+#: Words in names (ids, classes, roles) of left-out parts. Fixed values.
+SURE = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|consent|gdpr|newsletter|subscri\w*|signup|sidebar|nav(?:s|bar|box|igation|links?|menu)?|breadcrumbs?|pagination|pager|toolbar"
+    r"|related|recommend\w*|comments?|disqus|footer|masthead|topbar|popup|modal|overlay|complementary|contentinfo"
 )
+#: Words that begin names of content as well (side-effects, share-price): they count alone, as the last word, or beside words of LAYOUT.
+UNSURE = re.compile(r"banner|cookies?|notice|alert|login|side|widget|menu|share|sharing|social|discussion|repl(?:y|ies)|respond|search")
+LAYOUT = frozenset(
+    "area bar block body bottom box btn button buttons col column container content count danger error field form group header holder icon icons info inner input item items left link links list"
+    " main message outer page pane panel primary rail right row secondary section site slot small strip success text title toggle tools top tray unit warning wrap wrapper".split()
+)
+#: An ``article`` is left out only for a whole name of these.
+NO_ARTICLE = re.compile(r"ads?|advert\w*|sponsored|promo|comments?|repl(?:y|ies)")
+CELLS = frozenset("caption tbody td tfoot th thead tr".split())
 HEADER = re.compile(r"(?:^|[-_\s])header(?=$|[-_\s])", re.I)
 
 
 GRID = re.compile(r"(?:col|span|grid|row|w|m|p)(?:-[a-z]+)*-?\d{1,2}", re.I)
 
 
+@lru_cache(maxsize=65_536)
+def chrome(name: str) -> bool:
+    """Whether an id, class or role names a part to leave out."""
+    words = [w for w in re.split(r"[-_]+", name.lower()) if w and not w.isdigit()]
+    if not words or (len(words) > 1 and words[0] in ("with", "without", "has", "no", "is")):
+        return False
+    if any(SURE.fullmatch(w) for w in words):
+        return True
+    unsure = [bool(UNSURE.fullmatch(w)) for w in words]
+    return any(unsure) and ((unsure[-1] and words[-1] != "side") or all(u or w in LAYOUT for u, w in zip(unsure, words, strict=True)))
+
+
+def marks_of(attributes: str) -> list[str]:
+    return " ".join(v[1] or v[2] or v[3] for v in ATTR.findall(attributes)).split() if attributes else []
+
+
 def own_digits(mark: str) -> str:
     """An id or class without the numbers that only one page has (post-7817): they read as 0; columns of a grid keep theirs."""
     return mark if GRID.fullmatch(mark) else re.sub(r"\d+", "0", mark)
@@ -91,19 +117,22 @@ def walk(html: str) -> Iterator[tuple[str, str, bool, bool]]:
     and whether the text stands in something to leave out."""
     stack: list[tuple[str, str, bool, bool, str]] = []  # name, path, dropped, inside article, block it stands in
     at, role, breaks, block = 0, "", True, ""
+    leaf = False  # in a left-out paragraph, heading or item
     for m in TAG.finditer(html):
         text = html[at : m.start()]
         at = m.end()
         path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
         if dropped and any(x[0] in FLOWING for x in stack):
             breaks = False
-        yield role or path, text, breaks, dropped
+        yield role or path, text, breaks, dropped or leaf
         name = m.group(3)
         if name is None:
             role, breaks = "", bool(m.group(1))
             continue
         name = name.lower()
         breaks = name not in INLINE and name not in FLOWING
+        if breaks and name not in VOID and name not in WIDGETS:
+            leaf = False
         role = ""
         while stack and (top := stack[-1][0]) in WIDGETS:
             if name == block or (not m.group(2) and (name in LEAVES_SVG if top == "svg" else name == top in ("button", "select"))):
@@ -125,21 +154,24 @@ def walk(html: str) -> Iterator[tuple[str, str, bool, bool]]:
             if not COMPLETE.search(m.group(4)):
                 stack.append((name, f"{path}>{name}", True, bool(stack and stack[-1][3]), block))
         elif name in CONTAINERS and name not in VOID:
-            marks = " ".join(v[1] or v[2] or v[3] for v in ATTR.findall(m.group(4))) if m.group(4) else ""
+            marks = marks_of(m.group(4))
             inside = name in ("article", "main") or bool(stack and stack[-1][3])
             whole_page = name in ("html", "body", "main", "article")
-            label = name + ("." + ".".join(sorted({own_digits(m) for m in marks.split()})) if marks and not whole_page else "")
+            label = name + ("." + ".".join(sorted({own_digits(m) for m in marks})) if marks and not whole_page else "")
             path = f"{path}>{label}"
             out = dropped or name in DROPPED or (name == "header" and not inside)
-            out = out or (not whole_page and bool(HINT.search(marks) or (not inside and HEADER.search(marks))))
+            if name == "article":
+                out = out or any(NO_ARTICLE.fullmatch(m.lower()) for m in marks)
+            out = out or (not whole_page and any(chrome(m) or (not inside and HEADER.search(m)) for m in marks))
             stack.append((name, path, out, inside, block))
             role, block = path, ""
         elif breaks and name not in VOID:
             role = f"{path}>{name}"
+            leaf = name not in CELLS and any(map(chrome, marks_of(m.group(4))))
             if not (stack and stack[-1][0] in WIDGETS):
                 block = name
     path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-    yield role or path, html[at:], breaks, dropped
+    yield role or path, html[at:], breaks, dropped or leaf
 
 
 def text_hash(texts: Iterable[str]) -> int:
@@ -168,11 +200,18 @@ def container(role: str) -> str:
 
 
 def own_main(html: str) -> list[str]:
-    """The main container of a page by itself: the one with the most text."""
+    """The main container of a page by itself: the one with the most text, or the outermost around it that holds paragraphs of its own."""
     held: Counter[str] = Counter()
+    prose: set[str] = set()
     for role, _, chars, _, _ in tokens_of(html):
         held[container(role)] += chars
-    return [max(held, key=lambda r: (held[r], r))] if any(held.values()) else []
+        if chars and role.endswith(">p"):
+            prose.add(container(role))
+    if not any(held.values()):
+        return []
+    best = max(held, key=lambda r: (held[r], r))
+    around = [r for r in prose if best.startswith(r + ">") and r.rsplit(">", 1)[-1] not in ("html", "body")]
+    return [min([*around, best], key=len)]
 
 
 def main_text(html: str | None, main: list[str], fixed: list[tuple[str, int]]) -> str:
@@ -239,8 +278,10 @@ def templates(pages: DataFrame) -> DataFrame:
     last = F.substring_index(path, ">", -1)
     held = F.when(F.substring_index(last, ".", 1).isin(*CONTAINERS), path).otherwise(F.expr("left(path, greatest(length(path) - length(last) - 1, 0))"))
     varied = roles.where("chars > 0 AND (texts > 1 OR pages = 1)").withColumns({"path": path, "last": last}).withColumn("place", held)
-    varied = varied.groupBy("host", "place").agg(F.sum("chars").alias("chars"))
-    main = varied.groupBy("host").agg(F.max(F.struct("chars", "place"))["place"].alias("main"))
+    varied = varied.groupBy("host", "place").agg(F.sum("chars").alias("chars"), F.bool_or(F.col("role").endswith(">p")).alias("prose"))
+    best = varied.groupBy("host").agg(F.max(F.struct("chars", "place"))["place"].alias("best"))
+    around = F.expr("place = best OR (prose AND place <> '' AND startswith(best, place || '>') AND substring_index(place, '>', -1) NOT IN ('html', 'body'))")
+    main = varied.join(best, "host").where(around).groupBy("host").agg(F.min_by("place", F.length("place")).alias("main"))
     slots = roles.join(main, "host", "left").where("inside OR role = main OR startswith(role, main || '>')")
     differ = slots.groupBy("host").agg(F.max("texts").alias("differ")).where(F.col("differ") >= LEAST)
     fixed = slots.where(~F.col("role").rlike(r">h[1-6]$|>p$") & F.expr("chars > 0 AND 2 * met >= pages") & (F.col("top.once") >= LEAST) & (F.col("top.once") >= NEARLY_ALL * F.col("met")))
