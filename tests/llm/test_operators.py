@@ -4,6 +4,7 @@ import hashlib
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,20 +52,39 @@ def test_decontaminate(spark, docs, nothing):
                 wins.setdefault(tuple(w[k : k + 10]), set()).add(str(item))
     expected = []
     for row in DOCS:
-        w, hit, items = split(row[1]), set(), set()
+        w, hit, items, near = split(row[1]), set(), set(), 0
         for win, own in wins.items():
+            need, wide = Counter(win), len(win) + decontaminate.SLACK
+            near += set(win) <= set(w) and any(not need - Counter(w[k : k + wide]) for k in range(max(len(w) - wide + 1, 1)))
             for k in range(len(w) - len(win) + 1):
                 if tuple(w[k : k + len(win)]) == win:
                     hit |= set(range(k, k + len(win)))
                     items |= own
-        expected.append((row[0], len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+        expected.append((row[0], len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit), near))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     out = [tuple(r) for r in decontaminate.query(docs, items).collect()]
     assert sorted(out, key=str) == sorted(expected, key=str)
     assert decontaminate.query(nothing, items).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.query(docs, items.limit(0)).collect())
-    assert decontaminate.clean(docs, items).count() == sum(not e[-1] for e in expected)
-    assert decontaminate.proximity_matches(docs, items).count() > 0
+    assert decontaminate.clean(docs, items).count() == sum(not e[-2] for e in expected)
+
+
+def test_decontaminate_finds_what_is_near(spark):
+    item = "a b c d e f g h i rare"
+    texts = {
+        "rare a b c d e f g h i": 1, "a x b x c x d x e x f g h i rare": 1, "a x b x c x d x e x f x g h i rare": 0, "rare": 0, "x rare x": 0,
+        "a b c d e f g h i": 0, "rare rare a b c d e f g h": 0, item: 1, "x " * 40 + "i h g f e d c b a rare" + " y" * 40: 1, "a b c d e f g h i " + "x " * 6 + "rare": 0,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for own in (item, "a a b rare"):
+        items = spark.createDataFrame([(1, own)], "item_id long, text string")
+        out = {r["doc_id"]: r for r in decontaminate.query(docs, items).collect()}
+        for k, text in enumerate(texts):
+            w, need = text.split(), Counter(own.split())
+            wide = len(own.split()) + decontaminate.SLACK
+            assert out[k]["n_near"] == any(not need - Counter(w[i : i + wide]) for i in range(max(len(w) - wide + 1, 1)))
+            assert own != item or out[k]["n_near"] == texts[text]
+            assert out[k]["contaminated"] == (f" {own} " in f" {text} ")
 
 
 def expected_groups(rows):
