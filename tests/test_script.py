@@ -6,12 +6,12 @@ import pytest
 
 from weftline.__main__ import main
 from weftline.functions import naming
-from weftline.functions.queries import root_queries
+from weftline.functions.queries import highlight_queries, root_queries
 from weftline.operators import files
 from weftline.sources import code
 from weftline.sources.script import plugins
 from weftline.sources.script.bind import analyse
-from weftline.sources.script.flow import Graph, around, diagram, part, tree
+from weftline.sources.script.flow import Graph, around, border, ceiling, diagram, highlight, part, tree
 from weftline.sources.script.syntax import SyntaxFault, parse
 from weftline.streaming import ingest
 
@@ -147,6 +147,12 @@ def test_diagram_wraps_owned_functions():
   n_scope_1_x_11 -->|read| ret_use_ref_1
   n_scope_0_f_6 -->|read,call| expr_stmt_31
   expr_stmt_31["f()<br/>L2"]
+  classDef nestL1 fill:#11192a,stroke:transparent;
+  class wrap_s_scope_1 nestL1;
+  classDef nestL2 fill:#1a2538,stroke:transparent;
+  class s_scope_1 nestL2;
+  classDef nestL3 fill:#243047,stroke:transparent;
+  class s_return_scope_0_f_6_19_27 nestL3;
 """
 
 
@@ -260,7 +266,7 @@ def test_command_line(tmp_path, capsys):
     code_, out = run("-f", "stats", "-r", "b", "-A", "1")
     assert code_ == 0 and out.out.splitlines() == [f"1\t0\t{source}:2 b", f"0\t1\t{source}:3 c", "1\t1\t2 total"] and "L5:0" in out.err
     assert [e["src"] for e in json.loads(run("-f", "json")[1].out)["edges"]] == ["n_scope_0_a_6", "n_scope_0_b_19", "n_scope_0_c_32"]
-    assert run("-r", "c", "-C", "0", "--mermaid-renderer", "dagre")[1].out == 'flowchart RL\n  n_scope_0_c_32["c<br/>L3"]\n'
+    assert run("-r", "c", "-C", "0", "--mermaid-renderer", "dagre")[1].out == 'flowchart RL\n  %% pruning roots c=1 ancestors=0 descendants=0\n  n_scope_0_c_32["c<br/>L3"]\n'
     assert "## Query\n\n```\n-r b -C 10\n```" in run("-f", "markdown", "-r", "b")[1].out
     assert run("--out-dir", str(tmp_path / "x"), "-r", "b", "-B", "2")[0] == 0 and (tmp_path / "x" / "b-b2.mmd").exists()
     assert json.loads(run("-f", "ir", "-r", "b")[1].out)["variables"][0]["name"] == "a"
@@ -310,3 +316,116 @@ def test_empty_subgraphs_have_a_stand_in():
     added = [line.strip() for line in layered if line not in plain]
     assert added[1:] == [f'elk_empty_{empty}["No nodes"]', "classDef elkEmptyPlaceholder fill:transparent,stroke:transparent;", f"class elk_empty_{empty} elkEmptyPlaceholder;"]
     assert [line for line in layered if line not in added and line.strip() not in added] == plain
+
+
+def limited(text, function, block):
+    return Graph(ir(text), ceiling(function, block)).tables()
+
+
+NESTED_IFS = "const a = 1, b = 2, c = 3;\nif (a) {\n  let v = b;\n  if (b) {\n    v = c;\n    g(v);\n  }\n  h(v);\n}\n"
+
+
+def test_depth_limits_put_a_stub_in_the_nearest_subgraph():
+    t = limited(NESTED_IFS, 10, 1)
+    stub = "beyond_depth_s_scope_1"
+    assert [n["parent"] for n in t["nodes"] if n["id"] == stub] == ["s_scope_1"]
+    assert not any(n["id"].startswith("wr_") or n["parent"] == "s_scope_2" for n in t["nodes"])
+    name = {n["id"]: n["name"] for n in t["nodes"]}
+    into = {name[e["src"]] for e in t["edges"] if e["dst"] == stub}
+    assert into == {"b", "c", "g", "v"} and {name[e["dst"]] for e in t["edges"] if e["src"] == stub} == {"h()"}
+    text = diagram(t).splitlines()
+    assert f"    {stub}((...))" in text and f"  class {stub} boundaryStub;" in text
+    assert all(("-.->" in line) == (stub in line) for line in text if "->|" in line)
+    assert limited(NESTED_IFS, 10, 2) == limited(NESTED_IFS, 0, 9) == Graph(ir(NESTED_IFS)).tables()
+
+
+def test_depth_limits_at_the_top_leave_nothing_to_stand_in():
+    t = limited(NESTED_IFS, 10, 0)
+    assert [s["id"] for s in t["subgraphs"]] == []
+    assert [(e["src"], e["dst"]) for e in t["edges"]] == [("n_scope_0_a_6", "module_root")]
+
+
+def test_a_function_beyond_the_limit_is_its_node():
+    t = limited("const k = 1;\nfunction f(x) {\n  return x + k;\n}\nf(k);\n", 0, 10)
+    assert {(e["src"].split("_")[3], e["dst"].split("_")[0]) for e in t["edges"]} == {("k", "n"), ("f", "expr"), ("k", "expr")}
+    assert t["subgraphs"] == []
+
+
+@pytest.mark.parametrize("text, taker", [("const r = xs.map(i => i + k);", "n_scope_1_r_"), ("let r; r = xs.map(i => i + k);", "wr_ref_"), ("xs.forEach(i => g(i + k));", None), ("return xs.map(i => i + k);", None)])
+def test_calls_of_functions_beyond_the_limit_are_the_stub(text, taker):
+    t = limited("const k = 1, xs = [];\nfunction outer() {\n  " + text + "\n}\n", 1, 10)
+    stub = "beyond_depth_s_scope_1"
+    assert not [s for s in t["subgraphs"] if s["kind"] == "call-proxy"] and not [n for n in t["nodes"] if n["kind"] == "SyntheticExpressionStatement"]
+    assert {e["src"].split("_")[3] for e in t["edges"] if e["dst"] == stub and e["src"].startswith("n_scope_0")} >= {"k", "xs"}
+    assert [e["dst"].startswith(taker) for e in t["edges"] if e["src"] == stub] == ([True] if taker else [])
+
+
+@pytest.mark.parametrize("text, inside", [("for (const x of y) { x; }", "for"), ("switch (y) { case 1: { y; } }", "switch"), ("try { y } catch (e) { e }", "catch"), ("while (y) { y }", "while")])
+def test_a_statement_of_two_scopes_counts_once(text, inside):
+    t = limited("function f(y) {\n" + text + "\n}\n", 10, 1)
+    assert inside in {s["kind"] for s in t["subgraphs"]} and not [n for n in t["nodes"] if n["kind"] == "SyntheticBeyondDepth" and inside != "switch"]
+    assert [n["parent"] for n in limited("function f(y) {\n" + text + "\n}\n", 10, 0)["nodes"] if n["kind"] == "SyntheticBeyondDepth"]
+
+
+CHAIN = "const a = 1;\nconst b = a;\nconst c = b;\nconst d = a;\nfunction f(x) {\n  return x;\n}\n"
+
+
+def test_highlights():
+    t = Graph(ir(CHAIN)).tables()
+    id = {n["name"]: n["id"] for n in t["nodes"] if n["id"].startswith("n_")}
+    path = highlight(t, [("path", "c..a", {id["c"]}, {id["a"]})])
+    assert path == {"ids": [id["a"], id["b"], id["c"]], "points": [], "warnings": []}
+    for way, found in (("a", "bc"), ("b", "ab"), ("c", "abc")):
+        assert highlight(t, [(way, "", {id["b"]}, set())])["ids"] == [id[k] for k in found]
+    none = highlight(t, [("path", "c..d", {id["c"]}, {id["d"]}), ("path", "c..z", {id["c"]}, set()), ("a", "z..+a", set(), set()), ("point", "z", set(), set())])
+    assert none == {"ids": [], "points": [], "warnings": ["no path for the highlight c..d", "no node matches the highlight c..z", "no node matches the highlight z..+a"]}
+    text = diagram(t, marked=highlight(t, [("point", "b", {id["b"]}, set()), ("point", "", {"s_scope_1"}, set())]))
+    assert f"  style {id['b']} fill:#facc15,stroke:#facc15,color:#0a0a0a;\n  linkStyle 0,1 stroke:#facc15,stroke-width:2px;\n" in text
+    assert "  class s_scope_1 highlightSubgraph;\n" in text and "style" not in diagram(t, marked=highlight(t, []))
+
+
+def test_styles_follow_depth_and_ends():
+    t = Graph(ir("var v = 1;\nfunction f() {\n  [1].map(i => { return i; });\n}\n")).tables()
+    text = diagram(t, theme="light")
+    assert "  classDef varNode stroke-dasharray:5 5;\n  class n_scope_0_v_4 varNode;\n" in text
+    assert "  classDef nestL1 fill:#f4f7fb,stroke:transparent;\n  class wrap_s_scope_1 nestL1;\n  classDef nestL2 fill:#e8eff7,stroke:transparent;\n  class s_scope_1 nestL2;\n" in text
+    ends = {"nodes": [], "subgraphs": t["subgraphs"], "edges": [{"src": "s_scope_1", "dst": "s_scope_2", "label": "read"}, {"src": "s_scope_2", "dst": "x", "label": "read"}]}
+    assert "  classDef edgeTargetSubgraph stroke:#888;\n  class s_scope_2 edgeTargetSubgraph;\n  classDef edgeSourceSubgraph stroke:#888;\n  class s_scope_1 edgeSourceSubgraph;\n" in diagram(ends)
+
+
+def test_the_border_of_a_part():
+    t = Graph(ir(CHAIN)).tables()
+    b = next(n["id"] for n in t["nodes"] if n["name"] == "b")
+    hints = border(t, {b}, 1, 1)
+    assert [(h["inside"], h["direction"], h["label"]) for h in hints] == [(b, "out", ""), (b, "in", "read")]
+    assert border(t, {b}, 0, 0) == [] and "  boundary_stub_2 -.->|read| " + b in diagram(part(t, {b}) | {"boundary": hints})
+
+
+def test_command_line_depth_highlight_and_notices(tmp_path, capsys):
+    source = tmp_path / "a.ts"
+    source.write_text(CHAIN + "if (a) {\n  if (b) {\n    f(c);\n  }\n}\n")
+    run = lambda *args: (main([*args, str(source)]), capsys.readouterr())
+    assert "beyond_depth" not in run()[1].out and "beyond_depth" in run("--depth", "1")[1].out
+    assert "beyond_depth" in run("--depth", "1", "--depth-function", "5")[1].out and "beyond_depth" not in run("--depth", "1", "--depth-block", "2")[1].out
+    assert run("-r", "b", "-C", "1", "-H")[1].out.count("  style ") == 1 and "linkStyle 0,1,2 " in run("-r", "b", "-C", "1", "--highlight")[1].out
+    _, out = run("-Hc..d,none..+a,L2")
+    assert "no path for the highlight c..d" in out.err and "no node matches the highlight none..+a" in out.err and "'L2' is ambiguous" in out.err and "ask for '2'" in out.err
+    assert "#fde047" in run("--highlight=a", "--color-theme", "light")[1].out
+    assert "is taken as a folder" in run("--out-dir", str(tmp_path / "x.mmd"))[1].err and "written: " in run("-v")[1].err
+    assert "-r b -C 10 -H --depth-block 1" in run("-f", "markdown", "-r", "b", "-H", "--depth-block", "1")[1].out
+    for wrong in (["-Ha..b..c"], ["-H,"], ["--depth", "x"]):
+        with pytest.raises(SystemExit):
+            main([*wrong, str(source)])
+
+
+def test_highlights_and_ambiguous_roots_over_many_files(spark):
+    rows = spark.createDataFrame([("a.ts", "const a = 1;\nconst L1 = a;\nconst c = L1;"), ("b.ts", "const a = 1;\nconst c = a;")], "path string, text string")
+    graph = code.file_graphs(rows).persist()
+    nodes, edges = files.keyed_nodes(graph), files.keyed_edges(graph)
+    short = lambda rows: {tuple(r["id"].split("\n")[:1]) + (r["id"].split("_")[3],) for r in rows}
+    assert short(files.roots(nodes, "L1").collect()) == {("a.ts", "L1"), ("b.ts", "a")}
+    marks = files.highlighted(nodes, edges, "c..a").persist()
+    assert short(marks.collect()) == {("a.ts", "a"), ("a.ts", "L1"), ("a.ts", "c"), ("b.ts", "a"), ("b.ts", "c")} and files.marked_edges(edges, marks).count() == 3
+    marks = files.highlighted(nodes, edges, "L1,c..+b")
+    assert {r["point"] for r in marks.collect() if "L1" in r["id"]} == {True} and marks.where("point").count() == 2
+    assert [q for q, _ in highlight_queries("a,b..c")] == ["a", "b..c"]

@@ -75,6 +75,24 @@ def highlight_query(text: str) -> Endpoint | Path | Direction:
     return Path(endpoint(sides[0]), endpoint(sides[1]))
 
 
+def highlight_queries(text: str) -> list[tuple[str, Endpoint | Path | Direction]]:
+    """The comma-separated highlight queries with their texts."""
+    return [(part, highlight_query(part)) for part in text.split(",")]
+
+
+def ends(query: Endpoint | Path | Direction) -> list[Endpoint]:
+    """The endpoints that a highlight query names."""
+    if isinstance(query, Path):
+        return [query.left, query.right]
+    return [query.start] if isinstance(query, Direction) else [query]
+
+
+def notice(query: Endpoint, named: bool) -> list[str]:
+    """How an ambiguous ``Ln`` was taken, and how to ask for the line."""
+    taken = "a node has this name, so that it is taken as the name" if named else "no node has this name, so that it is taken as the line"
+    return [f"notice: '{query.name}' is ambiguous", f"  {taken}", f"  for the line ask for '{query.low}'"]
+
+
 def resolved(query: Endpoint, named: bool) -> Endpoint:
     """An ambiguous ``Ln`` once it is known whether a node has that very name: then the name, else the line."""
     if not query.ambiguous:

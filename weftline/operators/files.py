@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.queries import Endpoint, root_queries
+from ..functions.queries import Direction, Endpoint, Path, ends, highlight_queries, resolved, root_queries
+from ..plans.lineage import settled
 from ..sources import code
-from . import prune
+from . import prune, reach
 
 #: node kinds that a bare name doesn't select: they are uses, not declarations
 USES = ("WriteReference", "ReturnArgumentReference", "ThrowArgumentReference")
@@ -35,11 +38,54 @@ def selected(query: Endpoint) -> Column:
 def roots(nodes: DataFrame, text: str) -> DataFrame:
     """The nodes of every file that a root query selects."""
     own = F.lit(False)
-    for query in root_queries(text):
-        own = own | selected(query)
+    queries = root_queries(text)
+    nodes = with_names(nodes, queries)
+    for query in queries:
+        own = own | taken(query, selected)
     return nodes.where(own).select("id")
 
 
+def with_names(nodes: DataFrame, queries: list[Endpoint]) -> DataFrame:
+    """The nodes with a column for each ambiguous name: whether a node of their file has it."""
+    for query in {q.name: q for q in queries if q.ambiguous}.values():
+        having = nodes.where(F.col("name") == query.name).select("path").distinct().withColumn(f"has_{query.name}", F.lit(True))
+        nodes = nodes.join(having, "path", "left")
+    return nodes
+
+
+def taken(query: Endpoint, to: Callable[[Endpoint], Column]) -> Column:
+    """The predicate ``to`` of a query over ``with_names``: an ambiguous one is a name in the files that have it, else a line."""
+    if not query.ambiguous:
+        return to(query)
+    return F.when(F.col(f"has_{query.name}").isNotNull(), to(resolved(query, True))).otherwise(to(resolved(query, False)))
+
+
+def highlighted(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
+    """(id, point) of the nodes of every file that highlight queries mark; all edges of a point are marked, of the others
+    those between two. Paths and directions are searched in all files at once."""
+    queries = [q for _, q in highlight_queries(text)]
+    nodes = settled(with_names(nodes, [e for q in queries for e in ends(q)]))
+    steps = reach.pairs(edges)
+    pick = lambda e: nodes.where(taken(e, Endpoint.matches)).select("id")
+    out = nodes.select("id", F.lit(False).alias("point")).limit(0)
+    for q in queries:
+        if isinstance(q, Path):
+            out = out.union(reach.between(pick(q.left), pick(q.right), edges).withColumn("point", F.lit(False)))
+        elif isinstance(q, Direction):
+            for forward in ([True] if q.way in "ac" else []) + ([False] if q.way in "bc" else []):
+                out = out.union(reach.search(pick(q.start), steps, None, forward).select("id", F.lit(False)))
+        else:
+            out = out.union(pick(q).withColumn("point", F.lit(True)))
+    return out.groupBy("id").agg(F.max("point").alias("point"))
+
+
+def marked_edges(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """The edges of points, and those between two nodes of ``highlighted``."""
+    for end in ("src", "dst"):
+        edges = edges.join(marks.select(F.col("id").alias(end), F.col("point").alias(f"_{end}")), end, "left")
+    return edges.where("_src OR _dst OR (_src IS NOT NULL AND _dst IS NOT NULL)").drop("_src", "_dst")
+
+
 def pruned(nodes: DataFrame, edges: DataFrame, text: str, descendants: int, ancestors: int) -> DataFrame:
     """The nodes near the roots. Give tables that are written or cached: each step of the search reads the edges."""
     return nodes.join(prune.kept_ids(roots(nodes, text), edges, descendants, ancestors), "id", "left_semi")

@@ -61,8 +61,10 @@ def analysed(files: DataFrame, partitions: int | None = None) -> DataFrame:
     return _mapped(_spread(files, partitions), _analyse, SCHEMA)
 
 
-def file_graphs(files: DataFrame, plugins: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """``graphs(with_plugins(analysed(files), plugins))`` in one pass: the tables in between stay within the task."""
+def file_graphs(files: DataFrame, plugins: list[str] | None = None, partitions: int | None = None, limits: dict[str, int] | None = None) -> DataFrame:
+    """``graphs(with_plugins(analysed(files), plugins))`` in one pass: the tables in between stay within the task.
+
+    ``limits`` (see ``script.flow.ceiling``) leaves out scopes that are nested deeper."""
     from .script.plugins import named
 
     rewrites = named(plugins or [])
@@ -71,7 +73,7 @@ def file_graphs(files: DataFrame, plugins: list[str] | None = None, partitions:
         r = _analyse(r)
         for rewrite in rewrites:
             r = rewrite(r)
-        return _graph(r)
+        return _graph(r, limits)
 
     return _mapped(_spread(files, partitions), one, GRAPH_SCHEMA)
 
@@ -118,13 +120,13 @@ def _analyse(r: dict) -> dict:
         return row | {"error": f"Analysis of {path} failed: {type(fault).__name__}: {fault}"}
 
 
-def _graph(r: dict) -> dict:
+def _graph(r: dict, limits: dict[str, int] | None = None) -> dict:
     from .script.flow import Graph, diagram
 
     nothing: dict = {"nodes": [], "subgraphs": [], "edges": []}
     try:
         with _deep():
-            t = Graph(r).tables() if r["scopes"] else nothing
+            t = Graph(r, limits).tables() if r["scopes"] else nothing
             return {"path": r["path"], **t, "diagram": diagram(t)}
     except RecursionError:  # deeper than FRAMES: an empty graph
         return {"path": r["path"], **nothing, "diagram": diagram(nothing)}

@@ -52,8 +52,47 @@ def container(s: dict) -> str | None:
     return f"try:{s['upper']}:{s['parent_offset']}" if p == "TryStatement" and k in ("block", "handler") else None
 
 
+#: what a block counts as by its statement, for depth limits: fixed values
+NESTING = {"IfStatement": "if", "ForStatement": "for", "ForInStatement": "for", "ForOfStatement": "for", "WhileStatement": "while", "DoWhileStatement": "while",
+           "TryStatement": "try-catch-finally", "CatchClause": "try-catch-finally", "SwitchStatement": "switch"}
+NESTED = ("function", "if", "for", "while", "switch", "try-catch-finally", "block")
+
+
+def ceiling(function: int, block: int) -> dict[str, int]:
+    """Depth limits by kind: one for functions, one for all kinds of blocks."""
+    return {kind: function if kind == "function" else block for kind in NESTED}
+
+
+def nesting(s: dict) -> str | None:
+    """The kind of nesting that a scope counts as, if any."""
+    if s["type"] == "block":
+        return NESTING.get(s["parent_type"], "block")
+    return {"function": "function", "for": "for", "switch": "switch", "catch": "try-catch-finally"}.get(s["type"])
+
+
+def collapsed(scopes: list[dict], limits: dict[str, int]) -> dict[str, str]:
+    """For each scope that a limit leaves out, the outermost one left out around it.
+
+    A statement that makes two scopes counts once: ``for`` and ``catch`` by their body, ``switch`` by itself and not by its cases."""
+    depth: dict[str | None, dict[str, int]] = {None: dict.fromkeys(NESTED, 0)}
+    out: dict[str, str] = {}
+    for s in scopes:  # pre-order: a parent comes first
+        kind, own = nesting(s), depth[s["upper"]]
+        if kind and s["upper"] and s["type"] not in ("for", "catch") and s["block_type"] != "SwitchCase":
+            own = own | {kind: own[kind] + 1}
+        depth[s["id"]] = own
+        if s["upper"] in out:
+            out[s["id"]] = out[s["upper"]]
+        elif kind and own[kind] > limits[kind]:
+            out[s["id"]] = s["id"]
+    return out
+
+
 class Graph:
-    def __init__(self, ir: dict) -> None:
+    """``limits`` (see ``ceiling``) leaves out scopes that are nested deeper. What stands for such a scope is its function's
+    node, else a stub in the nearest subgraph around it; at the top nothing does, and its edges go."""
+
+    def __init__(self, ir: dict, limits: dict[str, int] | None = None) -> None:
         self.scopes = {s["id"]: s for s in ir["scopes"]}
         self.variables = {v["id"]: v for v in ir["variables"]}
         self.references = ir["references"]
@@ -80,6 +119,10 @@ class Graph:
         self.edges: dict[tuple[str, str, str], None] = {}
         self.anchors: dict[tuple[str, int], str] = {}
         self.proxies: dict[str, list[tuple[int, int, str, str | None]]] = {"owner": [], "return": []}
+        self.hidden = collapsed(ir["scopes"], limits) if limits else {}
+        self.stand_ins: dict[str, str | None] = {}
+        self.hidden_tests: dict[int, str] = {}
+        self.statement_nodes: dict[int, str] = {}
         self.called = {r["statement_at"]["offset"] for r in self.references if r["statement_at"] and self.to_statement(r)}
         self.place_scopes()
         self.set_edges()
@@ -112,6 +155,10 @@ class Graph:
 
     def place_scopes(self) -> None:
         for s in self.scopes.values():
+            if s["id"] in self.hidden:
+                if self.hidden[s["id"]] == s["id"]:
+                    self.stand_in(s)
+                continue
             if s["upper"]:
                 self.place(s)
             for test in (s["parent_type"] if s["type"] == "block" else None, s["block_type"]):
@@ -127,13 +174,34 @@ class Graph:
         for v, writes in self.writes.items():
             d = self.variables[v]["defs"][0]
             if d["declaration_kind"] != "var":
-                for r in writes:
+                for r in (r for r in writes if r["scope"] not in self.hidden):
                     self.node("wr_" + plain(r["id"]), "WriteReference", r["name"], r["at"]["line"], self.home(r["scope"]), declaration_kind=d["declaration_kind"])
-        for s in self.scopes.values():
+        for s in (s for s in self.scopes.values() if s["id"] not in self.hidden):
             for j in s["abrupt"]:
                 name = " ".join(filter(None, (j["type"], j["target"])))
                 self.node(f"bc_{j['type']}_{j['offset']}", f"Synthetic{j['type'].capitalize()}Statement", name, j["line"], self.home(s["id"]))
 
+    def stand_in(self, s: dict) -> None:
+        """What edges into a scope beyond the limit end at; a call around it takes it for its value."""
+        around = next((i for i in self.chain[s["id"]][1:] if i not in self.hidden and self.home(i)), None)
+        if s["id"] in self.owner:
+            own = "n_" + plain(self.owner[s["id"]]["id"])
+        elif around is None:
+            own = None
+        else:
+            box = self.subgraphs[self.home(around)]
+            own = self.node(f"beyond_depth_{plain(box['id'])}", "SyntheticBeyondDepth", "...", box["line"], box["id"], box["end_line"])
+        self.stand_ins[s["id"]] = own
+        if own is None:
+            return
+        if s["type"] == "block" and s["parent_offset"] is not None:
+            self.hidden_tests[s["parent_offset"]] = own
+        c = s["callback"]
+        if c and c["kind"] == "statement":
+            self.statement_nodes[c["target_offset"]] = own
+        elif c:
+            self.stands_for(c, own)
+
     def anchor(self, test: str, upper: str, offset: int, line: int, parent: str | None) -> None:
         prefix, kind, name = ANCHORS[test]
         self.anchors[test, offset] = self.node(f"{prefix}_{plain(upper)}_{offset}", kind, name, line, parent)
@@ -174,30 +242,38 @@ class Graph:
 
     def proxy(self, c: dict, parent: str | None) -> str | None:
         """The subgraph of a call around its function arguments: it stands for the value that the call gives."""
-        kind, value, target = c["kind"], c["value"], None
+        kind, value = c["kind"], c["value"]
         if kind == "statement":
             if c["target_offset"] not in self.called:
                 return None
             return self.subgraph(f"expr_stmt_{c['target_offset']}", "call-proxy", value["line"], c["end_line"], parent, name=c["head"])
-        if kind in ("declarator", "assignment"):
-            if c["target_offset"] is None:
-                return None
-            if kind == "declarator" and c["target_offset"] in self.declared_at:
-                target = "n_" + plain(self.declared_at[c["target_offset"]])
-            if kind == "assignment" and c["target_offset"] in self.write_at:
-                target = "wr_" + plain(self.write_at[c["target_offset"]]["id"])
-            if target is None:
-                return None
-        elif kind != "return":
+        target, known = self.result_of(c)
+        if not known:
             return None
         id = self.subgraph(f"call_proxy_{c['host_offset']}", "call-proxy", value["line"], c["end_line"], parent, name=c["head"])
-        span = (value["offset"], c["end"], id, target)
-        held = self.proxies["return" if kind == "return" else "owner"]
+        self.stands_for(c, id)
+        return id
+
+    def result_of(self, c: dict) -> tuple[str | None, bool]:
+        """The node that takes the value of a call around a function argument, and whether the call is known to have a taker."""
+        kind, at, target = c["kind"], c["target_offset"], None
+        if kind == "declarator" and at in self.declared_at:
+            target = "n_" + plain(self.declared_at[at])
+        if kind == "assignment" and at in self.write_at:
+            target = "wr_" + plain(self.write_at[at]["id"])
+        return target, target is not None or kind == "return"
+
+    def stands_for(self, c: dict, id: str) -> None:
+        """Reads inside the call go to ``id``, and ``id`` to what takes the call's value."""
+        target, known = self.result_of(c)
+        if not known:
+            return
+        span = (c["value"]["offset"], c["end"], id, target)
+        held = self.proxies["return" if c["kind"] == "return" else "owner"]
         if span not in held:
             held.append(span)
         if target:
             self.edge(id, target, "read")
-        return id
 
     def proxy_of(self, kind: str, r: dict, target: str | None = None) -> str | None:
         """The innermost proxy for ``target`` whose call a reference lies in."""
@@ -303,14 +379,22 @@ class Graph:
             if v not in self.variables or self.variables[v]["defs"][0]["declaration_kind"] == "var":
                 continue
             label = ",".join(k for k in ("read", "write", "call") if r[k]) or "ref"
+            if r["scope"] in self.hidden:
+                own = self.stand_ins[self.hidden[r["scope"]]]
+                if own and not r["write"]:
+                    for o in self.origins(v, r):
+                        self.edge(o, own, label)
+                continue
             if r["predicate_type"] and not r["write"]:
                 anchor = self.anchors.get((r["predicate_type"], r["predicate_offset"]))
                 if anchor is None and r["predicate_type"] == "DoWhileStatement":
                     anchor = self.late_anchor(r)
+                anchor = anchor or self.hidden_tests.get(r["predicate_offset"])
                 if anchor:
                     for o in self.origins(v, r):
                         self.edge(o, anchor, label)
-                continue
+                if anchor or not self.hidden:
+                    continue
             owners = [self.id_of(o, self.last(o, r["at"]["offset"], inclusive=True)) for o in r["owners"] if o in self.variables and self.variables[o]["defs"][0]["declaration_kind"] != "var"]
             if r["write"]:
                 own = self.id_of(v, None if r["init"] else r)
@@ -336,7 +420,7 @@ class Graph:
     def late_anchor(self, r: dict) -> str | None:
         """A do-while test stands last in its body."""
         body = self.do_bodies.get(r["predicate_offset"])
-        if body is None:
+        if body is None or body["id"] in self.hidden:
             return None
         self.anchor("DoWhileStatement", body["upper"], body["parent_offset"], body["parent_end_line"], self.home(body["id"]))
         return self.anchors["DoWhileStatement", r["predicate_offset"]]
@@ -345,11 +429,13 @@ class Graph:
         way, at = r["completion"], r["completion_at"]
         if way == "return":
             proxy = self.proxy_of("return", r)
-            if proxy and self.subgraphs[proxy]["parent"] == self.home(r["scope"]):
+            if proxy and (proxy in self.nodes or self.subgraphs[proxy]["parent"] == self.home(r["scope"])):
                 return proxy
             return self.use_node(r, "return", "ret", "ReturnArgumentReference")
         if r["statement_at"]:
             s = r["statement_at"]
+            if s["offset"] in self.statement_nodes:
+                return self.statement_nodes[s["offset"]]
             if f"expr_stmt_{s['offset']}" in self.subgraphs:
                 return f"expr_stmt_{s['offset']}"
             return self.node(f"expr_stmt_{s['offset']}", "SyntheticExpressionStatement", r["statement_head"], s["line"], self.home(r["scope"]), r["statement_end_line"])
@@ -377,7 +463,16 @@ class Graph:
     def tables(self) -> dict:
         number = {"nodes": self.nodes, "subgraphs": self.subgraphs}
         out = {t: [{"ord": k, **row} for k, row in enumerate(rows.values())] for t, rows in number.items()}
-        return out | {"edges": [{"ord": k, "src": a, "dst": b, "label": label} for k, (a, label, b) in enumerate(self.edges)]}
+        return out | {"edges": [{"ord": k, "src": a, "dst": b, "label": label} for k, (a, label, b) in enumerate(self.shown_edges())]}
+
+    def shown_edges(self) -> dict[tuple[str, str, str], None]:
+        """The edges, moved from what a limit leaves out to what stands for it; loops that come of it go."""
+        if not self.hidden:
+            return self.edges
+        scope = {"n_" + plain(i): v["scope"] for i, v in self.variables.items()} | {"wr_" + plain(r["id"]): r["scope"] for w in self.writes.values() for r in w}
+        at = lambda i: self.stand_ins[self.hidden[scope[i]]] if scope.get(i) in self.hidden else i
+        moved = ((at(a), label, at(b)) for a, label, b in self.edges)
+        return dict.fromkeys(e for e in moved if e[0] and e[2] and e[0] != e[2])
 
 
 # text -----------------------------------------------------------------------------------------------------------
@@ -405,6 +500,8 @@ def node_text(n: dict) -> str:
         head = f"{name}()"
     elif n["kind"] == "NamedImportBinding":
         head = name if n["imported_name"] != n["name"] else f"import {name}"
+    elif n["kind"] == "SyntheticBeyondDepth":
+        return f"{n['id']}((...))"
     elif n["kind"] == "WriteReference":
         head = ("let " if n["declaration_kind"] == "let" else "") + name
     else:
@@ -430,14 +527,26 @@ def subgraph_text(s: dict) -> str:
     return f"{title} {lines_of(s)}"
 
 
-# fixed values of the layered renderer: the line before the chart, the stand-in for a subgraph without nodes, and its colours
+# fixed values of the layered renderer: the line before the chart, and the stand-in for a subgraph without nodes
 LAYERED = '%%{init: {"flowchart": {"defaultRenderer": "elk"}}}%%'
-EMPTY_ID, EMPTY_TEXT, EMPTY_CLASS = "elk_empty_", "No nodes", "elkEmptyPlaceholder"
-EMPTY_FILL, EMPTY_STROKE = "transparent", "transparent"
+EMPTY_ID, EMPTY_TEXT = "elk_empty_", "No nodes"
+#: colours of the diagrams: fixed values
+THEMES = {
+    "dark": {"stub": "stroke:#888,stroke-dasharray:3 3,color:#888", "var": "stroke-dasharray:5 5", "empty": "fill:transparent,stroke:transparent", "end": "stroke:#888",
+             "nest": ["#11192a", "#1a2538", "#243047", "#2d3b57", "#364666", "#3f5175"], "mark": "fill:#facc15,stroke:#facc15", "mark_text": "color:#0a0a0a", "mark_edge": "stroke:#facc15,stroke-width:2px"},
+    "light": {"stub": "stroke:#555,stroke-dasharray:3 3,color:#555", "var": "stroke-dasharray:5 5", "empty": "fill:transparent,stroke:transparent", "end": "stroke:#555",
+              "nest": ["#f4f7fb", "#e8eff7", "#dce6f3", "#d1ddef", "#c5d4eb", "#b9cbe7"], "mark": "fill:#fde047,stroke:#ca8a04", "mark_text": "color:#0a0a0a", "mark_edge": "stroke:#ca8a04,stroke-width:2px"},
+}
+
 
+def classed(name: str, style: str, ids: list[str]) -> list[str]:
+    """The definition of a style class and its members; nothing without members."""
+    return [f"  classDef {name} {style};", *(f"  class {i} {name};" for i in ids)] if ids else []
 
-def diagram(t: dict, layered: bool = True) -> str:
-    """The flowchart of a graph's tables; nodes before subgraphs, late statement nodes and import edges at the end.
+
+def diagram(t: dict, layered: bool = True, theme: str = "dark", marked: dict | None = None) -> str:
+    """The flowchart of a graph's tables; nodes before subgraphs, late statement nodes and import edges at the end, then the
+    hints of a part's border and the styles. ``marked`` is what ``highlight`` gives.
 
     The layered renderer can't draw a subgraph without nodes: such get a node that can't be seen."""
     nodes, groups, owned = {}, {}, {s["owner"] for s in t["subgraphs"] if s["owner"]}
@@ -446,19 +555,23 @@ def diagram(t: dict, layered: bool = True) -> str:
         nodes.setdefault(n["parent"], []).append(n)
     for s in t["subgraphs"]:
         groups.setdefault(s["parent"], []).append(s)
-    out = [LAYERED] * layered + ["flowchart RL"]
+    out = [LAYERED] * layered + ["flowchart RL", *(f"  %% {c}" for c in t.get("comments", []))]
     empty: list[str] = []
+    look = THEMES[theme]
+    slots: list[list[str]] = [[] for _ in look["nest"]]
 
-    def inside(parent: str | None, depth: int) -> None:
+    def inside(parent: str | None, depth: int, level: int) -> None:
         pad, before = "  " * depth, len(out)
         out.extend(pad + node_text(n) for n in nodes.get(parent, []) if n["id"] not in owned and not (parent is None and n["kind"] in LATE))
         for s in groups.get(parent, []):
             d, wrap = depth, s["owner"] in known
             if wrap:
                 out.extend([pad + f'subgraph wrap_{s["id"]}[" "]', pad + "  direction TB", pad + "  " + node_text(known[s["owner"]])])
+                slots[(level - 1) % len(slots)].append(f"wrap_{s['id']}")
                 d += 1
+            slots[(level - 1 + wrap) % len(slots)].append(s["id"])
             out.extend(["  " * d + f'subgraph {s["id"]}["{subgraph_text(s)}"]', "  " * d + "  direction RL"])
-            inside(s["id"], d + 1)
+            inside(s["id"], d + 1, level + 1 + wrap)
             out.append("  " * d + "end")
             if wrap:
                 out.append(pad + "end")
@@ -466,15 +579,34 @@ def diagram(t: dict, layered: bool = True) -> str:
             empty.append(f"{EMPTY_ID}{parent}")
             out.append(f'{pad}{empty[-1]}["{EMPTY_TEXT}"]')
 
-    inside(None, 1)
-    imports = {n["id"] for n in t["nodes"] if n["kind"] == "SyntheticImportIntermediate"}
-    text = [(e["src"] in imports, f"  {e['src']} -->|{e['label']}| {e['dst']}") for e in t["edges"]]
-    out += [line for late, line in text if not late]
-    out += ["  " + node_text(n) for n in nodes.get(None, []) if n["kind"] in LATE]
-    out += [line for late, line in text if late]
-    if empty:
-        out += [f"  classDef {EMPTY_CLASS} fill:{EMPTY_FILL},stroke:{EMPTY_STROKE};", *[f"  class {x} {EMPTY_CLASS};" for x in empty]]
-    return "\n".join(out) + "\n"
+    inside(None, 1, 1)
+    of_kind = lambda kind: [n["id"] for n in t["nodes"] if n["kind"] == kind]
+    imports, stubs = set(of_kind("SyntheticImportIntermediate")), of_kind("SyntheticBeyondDepth")
+    ordered = [e for e in t["edges"] if e["src"] not in imports], [e for e in t["edges"] if e["src"] in imports]
+    dotted = set(stubs)
+    for rows, late in zip(ordered, (True, False), strict=True):
+        out += [f"  {e['src']} {'-.->' if dotted & {e['src'], e['dst']} else '-->'}|{e['label']}| {e['dst']}" for e in rows]
+        if late:
+            out += ["  " + node_text(n) for n in nodes.get(None, []) if n["kind"] in LATE]
+    border = [(f"boundary_stub_{k}", b) for k, b in enumerate(t.get("boundary", []), 1)]
+    for stub, b in border:
+        out += [f"  {stub}((...))", f"  {b['inside']} -.-> {stub}" if b["direction"] == "out" else f"  {stub} -.->|{b['label']}| {b['inside']}"]
+    groups_of = {s["id"] for s in t["subgraphs"]}
+    targets, sources = ({e[end] for e in t["edges"]} & groups_of for end in ("dst", "src"))
+    drawn = [i for slot in slots for i in slot]
+    out += classed("boundaryStub", look["stub"], [stub for stub, _ in border] + stubs) + classed("varNode", look["var"], of_kind("VarBinding"))
+    for k, ids in enumerate(slots):
+        out += classed(f"nestL{k + 1}", f"fill:{look['nest'][k]},stroke:transparent", ids)
+    out += classed("edgeTargetSubgraph", look["end"], [i for i in drawn if i in targets])
+    out += classed("edgeSourceSubgraph", look["end"], [i for i in drawn if i in sources - targets])
+    if marked and marked["ids"]:
+        ids, points = set(marked["ids"]), set(marked["points"])
+        out += [f"  style {i} {look['mark']},{look['mark_text']};" for i in marked["ids"] if i not in groups_of]
+        hit = [{e["src"], e["dst"]} <= ids or bool({e["src"], e["dst"]} & points) for rows in ordered for e in rows] + [b["inside"] in points for _, b in border]
+        if any(hit):
+            out.append(f"  linkStyle {','.join(str(k) for k, h in enumerate(hit) if h)} {look['mark_edge']};")
+        out += classed("highlightSubgraph", look["mark"], [i for i in marked["ids"] if i in groups_of])
+    return "\n".join(out + classed("elkEmptyPlaceholder", look["empty"], empty)) + "\n"
 
 
 # part of a graph, other texts -----------------------------------------------------------------------------------
@@ -495,6 +627,58 @@ def around(t: dict, roots: set[str], descendants: int, ancestors: int) -> set[st
     return kept
 
 
+def border(t: dict, kept: set[str], descendants: int, ancestors: int) -> list[dict]:
+    """The hints of a part: kept ends of edges that leave it, then of those that come into it, with all their labels."""
+    out: dict[tuple[str, str], set[str]] = {}
+    for way, near, far, radius in (("out", "src", "dst", descendants), ("in", "dst", "src", ancestors)):
+        for e in t["edges"]:
+            if radius and e[near] in kept and e[far] not in kept:
+                out.setdefault((e[near], way), set()).update(e["label"].split(",") if way == "in" else ())
+    return [{"inside": i, "direction": way, "label": ",".join(sorted(labels))} for (i, way), labels in out.items()]
+
+
+def highlight(t: dict, queries: list[tuple[str, str, set[str], set[str]]]) -> dict:
+    """ids (nodes and subgraphs to be marked, in the order of their elements), points (those all of whose edges are marked) and
+    warnings. ``queries``: (kind, text, left, right) with kind ``point``, ``path``, or a, b or c for a direction, and sets of ids."""
+    links: dict[str, dict[str, list[str]]] = {"src": {}, "dst": {}}
+    for e in t["edges"]:
+        links["src"].setdefault(e["src"], []).append(e["dst"])
+        links["dst"].setdefault(e["dst"], []).append(e["src"])
+
+    def reach(seeds: set[str], near: str) -> set[str]:
+        seen, todo = set(seeds), list(seeds)
+        while todo:
+            new = [x for x in links[near].get(todo.pop(), ()) if x not in seen]
+            seen.update(new)
+            todo += new
+        return seen
+
+    ids, points, warnings = set(), set(), []
+    for kind, text, left, right in queries:
+        if kind == "point":
+            points |= left
+            ids |= left
+        elif not left or kind == "path" and not right:
+            warnings.append(f"no node matches the highlight {text}")
+        elif kind == "path":
+            found = reach(left, "src") & reach(right, "dst") | reach(right, "src") & reach(left, "dst")
+            ids |= found
+            if not found:
+                warnings.append(f"no path for the highlight {text}")
+        else:
+            ids |= (reach(left, "src") if kind in "ac" else set()) | (reach(left, "dst") if kind in "bc" else set())
+    order: list[str] = []
+
+    def walk(elements: list[dict]) -> None:
+        for e in elements:
+            if e["id"] in ids:
+                order.append(e["id"])
+            walk(e.get("elements", []))
+
+    walk(tree(t))
+    return {"ids": order, "points": [i for i in order if i in points], "warnings": warnings}
+
+
 def part(t: dict, kept: set[str]) -> dict:
     """The tables of the kept nodes. A subgraph stays where a node in it stays, even if it isn't reached itself."""
     nodes = [n for n in t["nodes"] if n["id"] in kept]
