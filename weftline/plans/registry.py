@@ -11,6 +11,8 @@ from ..functions.queries import endpoint, root_queries
 from ..operators import asof, edges, files, prune, reach, render
 from ..sources import code
 from ..sources import driver_graph as g
+from ..sources.script.flow import ceiling
+from .forms import FORMS
 from .lineage import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -380,9 +382,72 @@ def script_stats(spark: SparkSession, d: str) -> DataFrame:
     return files.stats(settled(code.file_graphs(_programs(spark, d)).select("path", "nodes", "edges")))
 
 
+@query(f"""WITH {PROGRAMS_SQL}, q AS (SELECT *, CASE WHEN two THEN '  ' ELSE '' END AS pad, CASE WHEN two THEN 8 ELSE 6 END AS l, 's_scope_' || fn AS box, 's_return_scope_0_show_' || at_show || '_' || at_return || '_' || (at_return + 9) AS ret,
+  'n_scope_0_total_' || at_total AS total, 'n_scope_0_show_' || at_show AS fshow, 'n_scope_' || fn || '_x_' || (at_show + 5) AS x, 'ret_use_ref_' || CASE WHEN two THEN 6 ELSE 5 END AS used, 'if_test_scope_0_' || at_if AS test, 'expr_stmt_' || at_call AS stmt, 'cont_if_scope_0_' || at_if AS cont FROM p)
+SELECT path, concat_ws(chr(10), '%%{{init: {{"flowchart": {{"defaultRenderer": "elk"}}}}}}%%', 'flowchart RL', '  ' || va || '["let ' || a || '<br/>L1"]', '  ' || total || '["total<br/>L' || (l - 1) || '"]',
+  CASE WHEN two THEN '  subgraph ' || cont || '["if-else L2-6"]' || chr(10) || '    direction RL' END,
+  pad || '  subgraph s_scope_1["if L2-4"]', pad || '    direction RL', pad || '    ' || test || '{{"if ()<br/>L2"}}', pad || '    wr_ref_2(["let ' || a || '<br/>L3"])', pad || '  end',
+  CASE WHEN two THEN concat_ws(chr(10), '    subgraph s_scope_2["else L4-6"]', '      direction RL', '      wr_ref_3(["let ' || a || '<br/>L5"])', '    end', '  end') END,
+  '  subgraph wrap_' || box || '[" "]', '    direction TB', '    ' || fshow || '["show()<br/>L' || l || '"]', '    subgraph ' || box || '["show()<br/>L' || l || '-' || (l + 2) || '"]', '      direction RL', '      ' || x || '["x<br/>L' || l || '"]',
+  '      subgraph ' || ret || '["return L' || (l + 1) || '"]', '        direction RL', '        ' || used || '["x<br/>L' || (l + 1) || '"]', '      end', '    end', '  end',
+  '  ' || va || ' -->|set| wr_ref_2', CASE WHEN two THEN '  ' || va || ' -->|set| wr_ref_3' END, '  ' || va || ' -->|read| ' || test, CASE WHEN NOT two THEN '  ' || va || ' -->|read| ' || total END, '  wr_ref_2 -->|read| ' || total, CASE WHEN two THEN '  wr_ref_3 -->|read| ' || total END,
+  '  ' || x || ' -->|read| ' || used, '  ' || fshow || ' -->|read,call| ' || stmt, '  ' || total || ' -->|read| ' || stmt, '  ' || stmt || '["show()<br/>L' || (l + 3) || '"]',
+  '  classDef nestL1 fill:#11192a,stroke:transparent;', '  class ' || CASE WHEN two THEN cont ELSE 's_scope_1' END || ' nestL1;', '  class wrap_' || box || ' nestL1;', '  classDef nestL2 fill:#1a2538,stroke:transparent;',
+  CASE WHEN two THEN '  class s_scope_1 nestL2;' || chr(10) || '  class s_scope_2 nestL2;' END, '  class ' || box || ' nestL2;', '  classDef nestL3 fill:#243047,stroke:transparent;', '  class ' || ret || ' nestL3;', '') AS diagram FROM q""")
 def script_diagrams(spark: SparkSession, d: str) -> DataFrame:
     """The diagram text of every program."""
     return code.file_graphs(_programs(spark, d)).select("path", "diagram")
 
 
-QUERIES["script_diagrams"] = script_diagrams
+@query(f"""WITH {PROGRAMS_SQL} SELECT path, va AS src, 'read' AS label, 'module_root' AS dst FROM p UNION ALL SELECT path, va, 'read', 'n_scope_0_total_' || at_total FROM p WHERE NOT two
+UNION ALL SELECT path, 'n_scope_0_show_' || at_show, 'read,call', 'expr_stmt_' || at_call FROM p UNION ALL SELECT path, 'n_scope_0_total_' || at_total, 'read', 'expr_stmt_' || at_call FROM p""")
+def script_depth(spark: SparkSession, d: str) -> DataFrame:
+    """The edges with nothing nested: blocks are gone and functions are their node."""
+    return code.graph_rows(code.file_graphs(_programs(spark, d), limits=ceiling(0, 0)), "edges").select("path", "src", "label", "dst")
+
+
+#: what the queries "total" and "show..+a" mark
+MARKS_SQL = """m AS (SELECT path, 'n_scope_0_total_' || at_total AS id, true AS point FROM p UNION ALL SELECT path, 'n_scope_0_show_' || at_show, false FROM p UNION ALL SELECT path, 'expr_stmt_' || at_call, false FROM p)"""
+
+
+def _marks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    graph = settled(code.file_graphs(_programs(spark, d)).drop("diagram"))
+    links = files.keyed_edges(graph)
+    return links, files.highlighted(files.keyed_nodes(graph), links, "total,show..+a")
+
+
+@query(f"{GRAPH_EDGES}, {MARKS_SQL} SELECT path || chr(10) || id AS id, point FROM m")
+def script_highlight(spark: SparkSession, d: str) -> DataFrame:
+    return _marks(spark, d)[1]
+
+
+@query(f"""{GRAPH_EDGES}, {MARKS_SQL} SELECT e.path || chr(10) || src AS src, e.path || chr(10) || dst AS dst, label FROM e LEFT JOIN m a ON a.path = e.path AND a.id = e.src LEFT JOIN m b ON b.path = e.path AND b.id = e.dst
+WHERE a.point OR b.point OR (a.id IS NOT NULL AND b.id IS NOT NULL)""")
+def script_marked_edges(spark: SparkSession, d: str) -> DataFrame:
+    links, marks = _marks(spark, d)
+    return files.marked_edges(links, marks).select("src", "dst", "label")
+
+
+# One query for each form of statement, over a program for each supplier.
+def _form_sql(form: dict) -> str:
+    rows = ", ".join(f"({kind!r}, {text!r})" for kind in ("edges", "nodes") for text in form[kind])
+    return f"WITH x(item, text) AS (VALUES {rows}) SELECT s_suppkey, item, replace(text, '@', s_suppkey::VARCHAR) AS text, count(*) AS n FROM supplier, x GROUP BY ALL"
+
+
+def _form(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        key = F.col("s_suppkey").cast("string")
+        path = F.concat(key, F.lit(".tsx" if name == "jsx" else ".ts"))
+        graph = code.file_graphs(g.read(spark, d, "supplier").select(path.alias("path"), F.replace(F.lit(FORMS[name]["text"]), F.lit("@"), key).alias("text")))
+        labelled = F.concat(F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), F.concat_ws(" ", n["kind"], n["name"]).alias("t"))), F.transform("subgraphs", lambda s: F.struct(s["id"].alias("id"), F.concat_ws(" ", F.lit("subgraph"), s["kind"]).alias("t"))))
+        graph = graph.withColumn("names", F.map_from_entries(labelled))
+        edges = F.transform("edges", lambda e: F.struct(F.lit("edges").alias("item"), F.concat_ws(" | ", F.element_at("names", e["src"]), e["label"], F.element_at("names", e["dst"])).alias("text")))
+        nodes = F.transform("nodes", lambda n: F.struct(F.lit("nodes").alias("item"), F.concat_ws(" | ", n["kind"], n["name"], n["line"].cast("string"), F.when(n["unused"], "unused")).alias("text")))
+        rows = graph.select(F.split("path", r"\.")[0].cast("long").alias("s_suppkey"), F.explode(F.concat(edges, nodes)).alias("x"))
+        return rows.groupBy("s_suppkey", "x.item", "x.text").agg(F.count("*").alias("n"))
+
+    return run
+
+
+for _name in FORMS:
+    QUERIES[f"form_{_name}"], ORACLE_SQL[f"form_{_name}"] = _form(_name), _form_sql(FORMS[_name])
