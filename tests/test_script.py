@@ -429,3 +429,26 @@ def test_highlights_and_ambiguous_roots_over_many_files(spark):
     marks = files.highlighted(nodes, edges, "L1,c..+b")
     assert {r["point"] for r in marks.collect() if "L1" in r["id"]} == {True} and marks.where("point").count() == 2
     assert [q for q, _ in highlight_queries("a,b..c")] == ["a", "b..c"]
+
+
+@pytest.mark.parametrize("text, host, taker", [("const r = xs.map(f => f + 1).filter(g => g);", "call_proxy_", "n_scope_0_r_"), ("let r; r = xs.map(f => f + 1).filter(g => g);", "call_proxy_", "wr_ref_"), ("xs.map(f => f + 1).filter(g => g);", "expr_stmt_", None)])
+def test_each_call_of_a_chain_has_its_own_subgraph(text, host, taker):
+    t = Graph(ir("const xs = [];\n" + text)).tables()
+    name = {s["id"]: s["name"] for s in t["subgraphs"] if s["kind"] == "call-proxy"}
+    outer, inner = (next(i for i, n in name.items() if n == head) for head in ("xs.map().filter()", "xs.map()"))
+    assert len(name) == 2 and outer.startswith(host) and inner.startswith("call_proxy_") and inner.count("_") == 3
+    assert {s["name"]: s["parent"] for s in t["subgraphs"] if s["kind"] == "function"} == {"xs.map": inner, "xs.map().filter": outer}
+    reads = [(e["src"], e["dst"]) for e in t["edges"]]
+    assert (inner, outer) in reads and ("n_scope_0_xs_6", inner) in reads and ("n_scope_0_xs_6", outer) not in reads
+    assert [d.startswith(taker) for s, d in reads if s == outer] == ([True] if taker else [])
+
+
+def test_calls_without_functions_have_no_subgraph_of_their_own():
+    t = Graph(ir("const xs = [];\nconst r = xs.slice(1).map(f => f).join();\nconst s = go(xs.map(g => g));")).tables()
+    assert sorted(s["name"] for s in t["subgraphs"] if s["kind"] == "call-proxy") == ["go()", "xs.slice().map()", "xs.slice().map().join()"]
+
+
+def test_the_test_of_a_ternary_stands_in_its_first_arm():
+    t = Graph(ir("const c = 1, a = 2;\nconst r = c ? a : c;")).tables()
+    (test,) = [n for n in t["nodes"] if n["kind"] == "SyntheticConditionalTest"]
+    assert next(s for s in t["subgraphs"] if s["id"] == test["parent"])["kind"] == "consequent"

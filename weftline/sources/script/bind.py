@@ -469,6 +469,22 @@ def head_text(n: Node, text: str) -> str:
     return text[n.start : n.end]
 
 
+def receivers(n: Node) -> list[Node]:
+    """The calls of a method chain, the outermost first: each is called on a member of the next one's value."""
+    out = []
+    while n.type in ("CallExpression", "NewExpression"):
+        out.append(n)
+        callee = n.get("callee")
+        while callee.type == "ParenthesizedExpression":
+            callee = callee.kids[0][1]
+        if callee.type != "MemberExpression":
+            break
+        n = callee.get("object")
+        while n.type == "ParenthesizedExpression":
+            n = n.kids[0][1]
+    return out
+
+
 def callback(f: Frame) -> tuple[str, Node, Node, Node | None] | None:
     """What takes the value of the call that a function is an argument of: (kind, host, value, target); None where nothing does.
 
@@ -506,12 +522,14 @@ def analyse(text: str, language: str, module: bool) -> dict:
         f = s.frame
         if s.type != "function" or f.key != "arguments" or f.up.node.type not in ("CallExpression", "NewExpression"):
             return None
-        out = {"callee": head_text(f.up.node.get("callee"), text), "index": f.index, "kind": None, "host_offset": None, "value": None, "end": None, "end_line": None, "head": None, "target_offset": None}
+        out = {"callee": head_text(f.up.node.get("callee"), text), "index": f.index, "kind": None, "host_offset": None, "value": None, "end": None, "end_line": None, "head": None, "target_offset": None, "chain": []}
         host = callback(f)
         if host:
             kind, holder, value, target = host
             plain_target = target is not None and (kind == "statement" or target.type == "Identifier")
             out |= {"kind": kind, "host_offset": off(holder.start), "value": span(value), "end": off(value.end), "end_line": p.line(value.end), "head": head_text(value, text), "target_offset": off(target.start) if plain_target else None}
+            inner = [c for c in receivers(value)[1:] if c.start <= f.node.start and f.node.end <= c.end]
+            out["chain"] = [{"offset": off(c.start), "end": off(c.end), "line": p.line(c.start), "end_line": p.line(c.end), "head": head_text(c, text)} for c in inner]
         return out
 
     start = {"line": p.line(n.start), "column": p.column(n.start), "offset": off(n.start)} if (n := tree.kids[0][1] if tree.kids and language in ("ts", "tsx") else tree) else None

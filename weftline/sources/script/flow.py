@@ -123,6 +123,7 @@ class Graph:
         self.stand_ins: dict[str, str | None] = {}
         self.hidden_tests: dict[int, str] = {}
         self.statement_nodes: dict[int, str] = {}
+        self.innermost: dict[str, tuple[int, str]] = {}
         self.called = {r["statement_at"]["offset"] for r in self.references if r["statement_at"] and self.to_statement(r)}
         self.place_scopes()
         self.set_edges()
@@ -219,12 +220,13 @@ class Graph:
                     line = min(a["parent_line"] for a in arms)
                     parent = self.subgraph(name, "conditional-container" if ternary else "if-else-container", line, max(a["end_line"] for a in arms), parent, has_else=any(a["key"] == "alternate" for a in arms))
                     if ternary:
-                        self.anchor("ConditionalExpression", s["upper"], first["parent_offset"], first["parent_line"], name)
+                        self.anchor("ConditionalExpression", s["upper"], first["parent_offset"], first["parent_line"], self.home(next((a for a in arms if a["key"] == "consequent"), first)["id"]))
                 parent = name
         line, owner, name, c = s["block"]["line"], None, None, s["callback"]
         if c:
             name = c["callee"]
-            parent = self.proxy(c, parent) or parent
+            host = self.proxy(c, parent)
+            parent = self.of_chain(c, host, parent) if host else parent
         if kind == "function" and s["id"] in self.owner:
             v = self.owner[s["id"]]
             owner, name, line = "n_" + plain(v["id"]), v["name"], v["defs"][0]["name"]["line"]
@@ -254,6 +256,19 @@ class Graph:
         self.stands_for(c, id)
         return id
 
+    def of_chain(self, c: dict, host: str, parent: str | None) -> str:
+        """The subgraph of the call that a function is an argument of. Each call of a chain before the last one has its own beside the
+        host, which reads it; what the chain starts from is read by the innermost."""
+        at = host
+        for call in c["chain"]:
+            inner = self.subgraph(f"call_proxy_{call['offset']}_{call['end']}", "call-proxy", call["line"], call["end_line"], parent, name=call["head"])
+            self.edge(inner, at, "read")
+            self.innermost[host] = min(self.innermost.get(host, (call["end"], inner)), (call["end"], inner))
+            at = inner
+        if c["kind"] == "statement" and host in self.innermost:
+            self.statement_nodes[c["target_offset"]] = self.innermost[host][1]
+        return at
+
     def result_of(self, c: dict) -> tuple[str | None, bool]:
         """The node that takes the value of a call around a function argument, and whether the call is known to have a taker."""
         kind, at, target = c["kind"], c["target_offset"], None
@@ -279,7 +294,8 @@ class Graph:
         """The innermost proxy for ``target`` whose call a reference lies in."""
         at = r["at"]["offset"]
         found = [(b - a, id) for a, b, id, t in self.proxies[kind] if a <= at < b and t == target]
-        return min(found)[1] if found else None
+        host = min(found)[1] if found else None
+        return self.innermost[host][1] if host in self.innermost else host
 
     def variable_node(self, v: dict, parent: str | None) -> None:
         d = v["defs"][0]
