@@ -452,3 +452,10 @@ def test_the_test_of_a_ternary_stands_in_its_first_arm():
     t = Graph(ir("const c = 1, a = 2;\nconst r = c ? a : c;")).tables()
     (test,) = [n for n in t["nodes"] if n["kind"] == "SyntheticConditionalTest"]
     assert next(s for s in t["subgraphs"] if s["id"] == test["parent"])["kind"] == "consequent"
+
+
+def test_values_of_a_bare_ternary_have_no_edges_but_into_calls_around_functions():
+    reads = lambda text: {(e["src"].split("_")[3], e["dst"].split("_")[0]) for e in Graph(ir("const c = 1, a = 2, b = 3;\n" + text)).tables()["edges"] if e["src"].startswith("n_scope_0")}
+    assert reads("c ? a() : b;") == reads("(c ? a : b());") == {("c", "ternary")}
+    assert reads("go(c ? a : b);") == {("c", "ternary"), ("a", "expr"), ("b", "expr"), ("go", "expr")}
+    assert ("a", "expr") in reads("c ? a.map(x => x) : b;") and ("b", "expr") not in reads("c ? a.map(x => x) : b;")

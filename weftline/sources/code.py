@@ -27,7 +27,7 @@ variables array<struct<id: string, name: string, scope: string, references: arra
   init_type: string, init_offset: long, init_end: long, declaration_kind: string, import_kind: string, imported_name: string, import_source: string>>, unused: boolean>>,
 references array<struct<id: string, name: string, at: {_SPAN}, scope: string, resolved: string, owners: array<string>, init: boolean, read: boolean, write: boolean, call: boolean, receiver: boolean,
   predicate_type: string, predicate_offset: long, completion: string, completion_at: {_SPAN},
-  completion_end: long, completion_end_line: long, statement_at: {_SPAN}, statement_end_line: long, statement_head: string, jsx: boolean>>,
+  completion_end: long, completion_end_line: long, statement_at: {_SPAN}, statement_end_line: long, statement_head: string, statement_ternary: boolean, jsx: boolean>>,
 diagnostics array<struct<kind: string, message: string, line: long, column: long, offset: long>>"""
 GRAPH_SCHEMA = """path string, nodes array<struct<ord: long, id: string, kind: string, name: string, line: long, end_line: long, parent: string, unused: boolean, declaration_kind: string, init_is_function: boolean,
   imported_name: string, jsx: boolean>>,

@@ -469,19 +469,21 @@ def head_text(n: Node, text: str) -> str:
     return text[n.start : n.end]
 
 
+def bare(n: Node) -> Node:
+    while n.type == "ParenthesizedExpression":
+        n = n.kids[0][1]
+    return n
+
+
 def receivers(n: Node) -> list[Node]:
     """The calls of a method chain, the outermost first: each is called on a member of the next one's value."""
     out = []
     while n.type in ("CallExpression", "NewExpression"):
         out.append(n)
-        callee = n.get("callee")
-        while callee.type == "ParenthesizedExpression":
-            callee = callee.kids[0][1]
+        callee = bare(n.get("callee"))
         if callee.type != "MemberExpression":
             break
-        n = callee.get("object")
-        while n.type == "ParenthesizedExpression":
-            n = n.kids[0][1]
+        n = bare(callee.get("object"))
     return out
 
 
@@ -582,6 +584,7 @@ def analyse(text: str, language: str, module: bool) -> dict:
             "predicate_type": test.type if test else None, "predicate_offset": off(test.start) if test else None, "completion": way,
             "completion_at": span(holder) if holder else None, "completion_end": off(holder.end) if holder else None, "completion_end_line": p.line(holder.end) if holder else None,
             "statement_at": span(stmt) if stmt else None, "statement_end_line": p.line(stmt.end) if stmt else None, "statement_head": head_text(stmt.kids[0][1], text) if stmt else None,
+            "statement_ternary": stmt is not None and bare(stmt.kids[0][1]).type == "ConditionalExpression",
             "jsx": r.frame is not None and key == "name" and up == "JSXOpeningElement",
         })
     warnings = [{"kind": "var-detected", "message": "var declaration detected; rendered as node only (no edges).", **span(n)} for n in b.vars_warned]

@@ -124,6 +124,8 @@ class Graph:
         self.hidden_tests: dict[int, str] = {}
         self.statement_nodes: dict[int, str] = {}
         self.innermost: dict[str, tuple[int, str]] = {}
+        arms = (self.scopes[s["upper"]] for s in self.scopes.values() if s["callback"] and s["callback"]["kind"] == "statement" and s["upper"])
+        self.calling_arms = {(s["block"]["offset"], s["end"]) for s in arms if s["parent_type"] == "ConditionalExpression" and s["key"] in ("consequent", "alternate")}
         self.called = {r["statement_at"]["offset"] for r in self.references if r["statement_at"] and self.to_statement(r)}
         self.place_scopes()
         self.set_edges()
@@ -428,7 +430,7 @@ class Graph:
                     if o != v:
                         for src in self.origins(v, r):
                             self.edge(src, self.proxy_of("owner", r, target) or target, label)
-            else:
+            elif not r["statement_ternary"] or any(a <= r["at"]["offset"] < b for a, b in self.calling_arms):  # a ternary's value that nothing takes
                 sink = self.sink(r)
                 for o in self.origins(v, r):
                     self.edge(o, sink, label)
