@@ -459,3 +459,15 @@ def test_values_of_a_bare_ternary_have_no_edges_but_into_calls_around_functions(
     assert reads("c ? a() : b;") == reads("(c ? a : b());") == {("c", "ternary")}
     assert reads("go(c ? a : b);") == {("c", "ternary"), ("a", "expr"), ("b", "expr"), ("go", "expr")}
     assert ("a", "expr") in reads("c ? a.map(x => x) : b;") and ("b", "expr") not in reads("c ? a.map(x => x) : b;")
+
+
+@pytest.mark.parametrize(
+    "text, language, globals",
+    [
+        ("function f() { const x = new.target; return x; }", "ts", {"new", "target"}), ("const m = import.meta;", "ts", {"import", "meta"}),
+        ("import x from 'y' with { type: 'json', 'quoted': 'a' };", "ts", {"type"}), ("export * as all from 'y';", "ts", {"all"}), ("export * from 'y';", "ts", set()),
+        ("const x = <svg:rect />;", "jsx", {"svg", "rect"}), ("const x = <a.b />;", "jsx", {"a"}),
+    ],
+)
+def test_names_that_bind_to_nothing_are_globals(text, language, globals):
+    assert {v["name"] for v in ir(text, language)["variables"] if v["defs"][0]["type"] == "ImplicitGlobalVariable"} == globals

@@ -312,14 +312,28 @@ class Binder:
         if exported and exported.type == "Identifier":
             self.refer(exported, scope, None, True, False, synthetic=True)
 
+    def v_MetaProperty(self, f: Frame, scope: Scope) -> None:
+        for key, c in f.node.kids:
+            self.refer(c, scope, Frame(c, key, f), True, False, synthetic=True)
+
+    def v_ImportDeclaration(self, f: Frame, scope: Scope) -> None:
+        for a in f.node.all("attributes"):
+            if a.get("key").type == "Identifier":
+                self.refer(a.get("key"), scope, Frame(a.get("key"), "key", Frame(a, "attributes", f)), True, False, synthetic=True)
+
+    def v_ExportAllDeclaration(self, f: Frame, scope: Scope) -> None:
+        exported = f.node.get("exported")
+        if exported and exported.type == "Identifier":
+            self.refer(exported, scope, Frame(exported, "exported", f), True, False, synthetic=True)
+
     def v_JSXIdentifier(self, f: Frame, scope: Scope) -> None:
-        member = f.up.node.type == "JSXMemberExpression"
-        self.refer(f.node, scope, f, True, False, synthetic=not (member or f.node.name[:1].isupper() or f.node.name[:1] in "_$"))
+        up = f.up.node.type
+        self.refer(f.node, scope, f, True, False, synthetic=up == "JSXNamespacedName" or not (up == "JSXMemberExpression" or f.node.name[:1].isupper() or f.node.name[:1] in "_$"))
 
     def skip(self, f: Frame, scope: Scope) -> None:
-        """Labels, names of imports and type-only declarations hold no references."""
+        """Labels and type-only declarations hold no references."""
 
-    v_BreakStatement = v_ContinueStatement = v_ImportDeclaration = v_ExportAllDeclaration = v_TSEnumDeclaration = skip
+    v_BreakStatement = v_ContinueStatement = v_TSEnumDeclaration = skip
 
     def v_LabeledStatement(self, f: Frame, scope: Scope) -> None:
         self.visit(Frame(f.node.get("body"), "body", f), scope)

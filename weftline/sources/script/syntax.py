@@ -491,11 +491,18 @@ class Parser:
                 self.need("}")
             self.need("from")
         source = self.literal()
+        attributes = []
         if self.at("with") and not self.newline:
             self.step()
-            self.skip_balanced()
+            self.need("{")
+            while not self.eat("}"):
+                key = self.word() if self.kind == "name" else self.literal()
+                self.need(":")
+                attributes.append(("attributes", self.done("ImportAttribute", key.start, ("key", key), ("value", self.literal()))))
+                if not self.at("}"):
+                    self.need(",")
         self.semicolon()
-        return self.done("ImportDeclaration", start, *([] if types else out), ("source", source))
+        return self.done("ImportDeclaration", start, *([] if types else out), ("source", source), *attributes)
 
     def export_name(self) -> Node:
         if self.kind == "string":
@@ -518,12 +525,11 @@ class Parser:
                 self.semicolon()
             return self.done("ExportDefaultDeclaration", start, ("declaration", d))
         if self.eat("*"):
-            if self.eat("as"):
-                self.export_name()
+            exported = self.export_name() if self.eat("as") else None
             self.need("from")
             source = self.literal()
             self.semicolon()
-            return self.done("ExportAllDeclaration", start, ("source", source))
+            return self.done("ExportAllDeclaration", start, ("exported", exported), ("source", source))
         if self.at("{") or self.typed and self.at("type") and self.peek()[1] in ("{", "*"):
             types = self.eat("type")
             out: list[tuple[str, Node]] = []
@@ -931,10 +937,9 @@ class Parser:
                 self.step()
                 return self.done("Literal", start, name=v, kind="word")
             if v == "import":
-                self.step()
+                meta = self.word()
                 if self.eat("."):
-                    self.word()
-                    return self.done("MetaProperty", start)
+                    return self.meta(start, meta)
                 return self.done("ImportExpression", start, *self.arguments())
             if v.startswith("#"):
                 self.step()
@@ -977,11 +982,13 @@ class Parser:
             return self.done("TSTypeAssertion", start, ("expression", self.unary()))
         raise SyntaxFault("Unexpected token", start)
 
+    def meta(self, start: int, meta: Node) -> Node:
+        return self.done("MetaProperty", start, ("meta", meta), ("property", self.word()))
+
     def construct(self, start: int) -> Node:
-        self.step()
+        meta = self.word()
         if self.eat("."):
-            self.word()
-            return self.done("MetaProperty", start)
+            return self.meta(start, meta)
         callee = self.chain(self.construct(self.start) if self.at("new") else self.primary(), call=False)
         args = self.arguments() if self.at("(") else []
         return self.done("NewExpression", start, ("callee", callee), *args)
@@ -1055,6 +1062,9 @@ class Parser:
         self.pos = self.end = name.end()
         self.step()
         words = re.split(r"\s*[.]\s*", name.group())
+        if ":" in name.group():
+            parts = [Node("JSXIdentifier", start + m.start(), start + m.end(), name=m.group()) for m in re.finditer(r"[\w$-]+", name.group())]
+            return Node("JSXNamespacedName", start, name.end(), [("namespace", parts[0]), ("name", parts[1])])
         out = Node("JSXIdentifier", start, start + len(words[0]), name=words[0])
         if len(words) > 1:
             return Node("JSXMemberExpression", start, name.end(), [("object", out)])
