@@ -471,3 +471,17 @@ def test_values_of_a_bare_ternary_have_no_edges_but_into_calls_around_functions(
 )
 def test_names_that_bind_to_nothing_are_globals(text, language, globals):
     assert {v["name"] for v in ir(text, language)["variables"] if v["defs"][0]["type"] == "ImplicitGlobalVariable"} == globals
+
+
+@pytest.mark.parametrize("text", ["const x = 1;\nexport = x;", "import x = require('y');", "import x = A.B;", "export as namespace N;", "type T = import('y');", "type T = import('y').Z<number>[];", "type T = ?number;", "type T = !number;"])
+def test_typed_forms_without_values_have_no_edges(text):
+    t = Graph(ir(text)).tables()
+    assert t["edges"] == [] and {n["name"] for n in t["nodes"]} <= {"x"}
+
+
+def test_values_with_type_arguments_and_with_statements():
+    assert [e[:2] for e in edge_list("const f = 1;\nconst g = f<string>;\nconst h = [f<A, B<C>>, f<D>];")] == [("n_scope_0_f_6", "read")] * 2
+    assert [e[0] for e in edge_list("const a = 1, b = 2;\nconst c = a < b;\nconst d = (a < b, b > a);")] == ["n_scope_0_a_6", "n_scope_0_b_13"] * 2
+    t = Graph(ir("with (a) {\n  b;\n}\n", "js", False)).tables()
+    assert [(e["src"], e["dst"]) for e in t["edges"]] == [("n_scope_0_a_6", "module_root"), ("n_scope_0_b_13", "expr_stmt_13")]
+    assert [(s["kind"], s["line"], s["end_line"]) for s in t["subgraphs"]] == [("block", 1, 3)]

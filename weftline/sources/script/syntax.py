@@ -136,7 +136,7 @@ class Parser:
 
     # types (skipped) --------------------------------------------------------------------------------------------
     def skip_type(self) -> bool:
-        if self.at("|", "&"):
+        if self.at("|", "&", "?", "!"):
             self.step()
         while True:
             if self.at("keyof", "typeof", "readonly", "unique", "infer", "asserts", "new", "abstract") and self.peek()[1] not in (",", ")", ";", "=", ">", "|", "&", "is"):
@@ -154,7 +154,10 @@ class Parser:
                 self.step()
                 continue
             elif self.kind in ("name", "string", "number"):
+                called = self.at("import")
                 self.step()
+                if called and self.at("("):
+                    self.skip_balanced()
             else:
                 raise SyntaxFault("Type expected", self.start)
             while True:
@@ -358,6 +361,11 @@ class Parser:
         other = self.statement() if self.eat("else") else None
         return self.done("IfStatement", start, ("test", test), ("consequent", then), ("alternate", other))
 
+    def s_with(self, start: int) -> Node:
+        self.step()
+        held = self.parens()
+        return self.done("WithStatement", start, ("object", held), ("body", self.statement()))
+
     def s_while(self, start: int) -> Node:
         self.step()
         test = self.parens()
@@ -468,6 +476,10 @@ class Parser:
                 at = self.start
                 out.append(("specifiers", self.done("ImportDefaultSpecifier", at, ("local", self.identifier()))))
                 out[-1][1].end = self.last
+                if self.typed and self.eat("="):  # binds no name and reads none
+                    self.expression()
+                    self.semicolon()
+                    return self.done("TSImportEqualsDeclaration", start)
                 self.eat(",")
             if self.at("*"):
                 at = self.start
@@ -513,6 +525,16 @@ class Parser:
 
     def s_export(self, start: int) -> Node:
         self.step()
+        if self.typed and self.eat("="):
+            self.expression()
+            self.semicolon()
+            return self.done("TSExportAssignment", start)
+        if self.typed and self.at("as") and self.peek()[1] == "namespace":
+            self.step()
+            self.step()
+            self.identifier()
+            self.semicolon()
+            return self.done("TSNamespaceExportDeclaration", start)
         if self.eat("default"):
             at = self.start
             if self.at("class", "@") or self.at("abstract") and self.peek()[1] == "class":
@@ -914,8 +936,9 @@ class Parser:
                 return e
 
     def type_arguments(self) -> bool:
+        """Type arguments of a call, or of a value where nothing that could be an operand follows."""
         self.skip_angles()
-        if not self.at("(", "`"):
+        if not (self.at("(", "`", ";", ")", "]", "}", ",", ":") or self.newline or self.kind == "eof"):
             raise SyntaxFault("Not type arguments", self.start)
         return True
 
