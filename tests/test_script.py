@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.__main__ import main
-from weftline.functions import naming
+from weftline.functions import naming, offsets
 from weftline.functions.queries import highlight_queries, root_queries
 from weftline.operators import files
 from weftline.sources import code
@@ -485,3 +486,21 @@ def test_values_with_type_arguments_and_with_statements():
     t = Graph(ir("with (a) {\n  b;\n}\n", "js", False)).tables()
     assert [(e["src"], e["dst"]) for e in t["edges"]] == [("n_scope_0_a_6", "module_root"), ("n_scope_0_b_13", "expr_stmt_13")]
     assert [(s["kind"], s["line"], s["end_line"]) for s in t["subgraphs"]] == [("block", 1, 3)]
+
+
+def test_offsets_in_units_and_bytes(spark):
+    text = "aé\n😀b\nç😀"
+    wide = text.encode("utf-16-be")
+    n = len(wide) // 2
+    cases = [(a, b) for a in range(n + 2) for b in range(n + 3)]
+    down = lambda k: k - (k in (4, 9))  # noqa: E731  inside a character
+    rows = spark.createDataFrame([(text, a, b) for a, b in cases], "t string, a int, b int")
+    t, a, b = F.col("t"), F.col("a"), F.col("b")
+    for r in rows.select("a", "b", offsets.slice_units(t, a, b).alias("part"), offsets.unit_to_byte(t, b).alias("byte")).collect():
+        assert r["part"] == wide[2 * down(r["a"]) : max(2 * down(r["a"]), 2 * down(r["b"]))].decode("utf-16-be")
+        assert r["byte"] == len(wide[: 2 * down(r["b"])].decode("utf-16-be").encode())
+    whole = range(len(text.encode()) + 4)
+    for r in spark.createDataFrame([(text, x) for x in whole], "t string, x int").select("x", offsets.span_of_byte(t, F.col("x")).alias("s")).collect():
+        before, more = text.encode()[: r["x"]].decode(errors="ignore"), max(r["x"] - len(text.encode()), 0)
+        units = lambda s: len(s.encode("utf-16-be")) // 2
+        assert tuple(r["s"]) == (1 + before.count("\n"), units(before.rsplit("\n", 1)[-1]) + more, units(before) + more)

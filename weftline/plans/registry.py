@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import offsets
 from ..functions.queries import endpoint, root_queries
 from ..operators import asof, edges, files, prune, reach, render
 from ..sources import code
@@ -285,6 +286,20 @@ def stat_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "out_degree", "in_degree", render.stat_label(F.lit("graph"), F.col("line"), F.col("name"), F.col("unused")).alias("label"))
 
 
+# The texts of the driver hold no character beyond 16 bits, so that SQL may count code points.
+OFFSETS_SQL = "t AS (SELECT doc_id, text, 3 + doc_id % 50 AS a, 3 + doc_id % 50 + doc_id % 9 AS b FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"""WITH {OFFSETS_SQL} SELECT doc_id, substring(text, a + 1, b - a) AS part, strlen(substring(text, 1, b)) AS at_byte, 1 + len(substring(text, 1, b)) - len(replace(substring(text, 1, b), chr(10), '')) AS line,
+  len(string_split(substring(text, 1, b), chr(10))[-1]) AS col, least(b, len(text)) AS pos FROM t""")
+def text_offsets(spark: SparkSession, d: str) -> DataFrame:
+    t, a = F.col("text"), (3 + F.col("doc_id") % 50).cast("int")
+    b = a + (F.col("doc_id") % 9).cast("int")
+    rows = g.read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", offsets.slice_units(t, a, b).alias("part"), offsets.unit_to_byte(t, b).alias("at_byte"))
+    span = offsets.span_of_byte(t, F.col("at_byte"))
+    return rows.select("doc_id", "part", "at_byte", span["line"].alias("line"), span["column"].alias("col"), span["offset"].alias("pos"))
+
+
 # Script sources. Every customer makes one program out of its row, and every page holds an inline script; the SQL states
 # what their tables and graphs must be without parsing anything.
 HAS_ELSE = "c_acctbal < 5000"
