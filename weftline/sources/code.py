@@ -21,7 +21,7 @@ _DEPTHS = "struct<function: long, `if`: long, `for`: long, while: long, switch:
 SCHEMA = f"""path string, language string, error string,
 scopes array<struct<id: string, type: string, strict: boolean, upper: string, children: array<string>, variable_scope: string, block_type: string, parent_line: long, parent_end_line: long, block: {_SPAN}, end: long, end_line: long,
   variables: array<string>, references: array<string>, parent_type: string, key: string, parent_offset: long, chain_root_offset: long, case_test: string,
-  callback: struct<callee: string, index: long, kind: string, host_offset: long, value: {_SPAN}, `end`: long, end_line: long, head: string, target_offset: long, chain: array<struct<offset: long, `end`: long, line: long, end_line: long, head: string>>>,
+  callback: struct<callee: string, index: long, kind: string, host_offset: long, value: {_SPAN}, `end`: long, end_line: long, head: string, target_offset: long, inner_offset: long, inner_end: long, chain: array<struct<offset: long, `end`: long, line: long, end_line: long, head: string>>>,
   falls_through: boolean, exits_function: boolean, depths: {_DEPTHS}, abrupt: array<struct<type: string, target: string, line: long, offset: long, `end`: long>>>>,
 variables array<struct<id: string, name: string, scope: string, references: array<string>, defs: array<struct<type: string, name: {_SPAN}, node_type: string, node: {_SPAN}, parent_type: string,
   init_type: string, init_offset: long, init_end: long, declaration_kind: string, import_kind: string, imported_name: string, import_source: string>>, unused: boolean>>,

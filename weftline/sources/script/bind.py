@@ -534,18 +534,24 @@ def analyse(text: str, language: str, module: bool) -> dict:
     def span(n: Node) -> dict:
         return {"line": p.line(n.start), "column": p.column(n.start), "offset": off(n.start)}
 
+    told: set[int] = set()  # calls of chains that an earlier function's row holds
+
     def taken_by(s: Scope) -> dict | None:
         f = s.frame
         if s.type != "function" or f.key != "arguments" or f.up.node.type not in ("CallExpression", "NewExpression"):
             return None
-        out = {"callee": head_text(f.up.node.get("callee"), text), "index": f.index, "kind": None, "host_offset": None, "value": None, "end": None, "end_line": None, "head": None, "target_offset": None, "chain": []}
+        out = {"callee": head_text(f.up.node.get("callee"), text), "index": f.index, "kind": None, "host_offset": None, "value": None, "end": None, "end_line": None, "head": None, "target_offset": None, "inner_offset": None, "inner_end": None, "chain": []}
         host = callback(f)
         if host:
             kind, holder, value, target = host
             plain_target = target is not None and (kind == "statement" or target.type == "Identifier")
             out |= {"kind": kind, "host_offset": off(holder.start), "value": span(value), "end": off(value.end), "end_line": p.line(value.end), "head": head_text(value, text), "target_offset": off(target.start) if plain_target else None}
             inner = [c for c in receivers(value)[1:] if c.start <= f.node.start and f.node.end <= c.end]
-            out["chain"] = [{"offset": off(c.start), "end": off(c.end), "line": p.line(c.start), "end_line": p.line(c.end), "head": head_text(c, text)} for c in inner]
+            if inner:
+                out |= {"inner_offset": off(inner[-1].start), "inner_end": off(inner[-1].end)}
+            new = [c for c in inner if id(c) not in told]
+            told.update(map(id, new))
+            out["chain"] = [{"offset": off(c.start), "end": off(c.end), "line": p.line(c.start), "end_line": p.line(c.end), "head": head_text(c, text)} for c in new]
         return out
 
     start = {"line": p.line(n.start), "column": p.column(n.start), "offset": off(n.start)} if (n := tree.kids[0][1] if tree.kids and language in ("ts", "tsx") else tree) else None

@@ -269,7 +269,7 @@ class Graph:
             at = inner
         if c["kind"] == "statement" and host in self.innermost:
             self.statement_nodes[c["target_offset"]] = self.innermost[host][1]
-        return at
+        return host if c["inner_end"] is None else f"call_proxy_{c['inner_offset']}_{c['inner_end']}"
 
     def result_of(self, c: dict) -> tuple[str | None, bool]:
         """The node that takes the value of a call around a function argument, and whether the call is known to have a taker."""
