@@ -432,6 +432,16 @@ def test_highlights_and_ambiguous_roots_over_many_files(spark):
     assert [q for q, _ in highlight_queries("a,b..c")] == ["a", "b..c"]
 
 
+def broadcasts(df):
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_degrees_are_joined_without_a_broadcast(spark, sf):
+    from weftline.plans.registry import QUERIES
+
+    assert not broadcasts(QUERIES["script_degrees"](spark, sf))
+
+
 @pytest.mark.parametrize("text, host, taker", [("const r = xs.map(f => f + 1).filter(g => g);", "call_proxy_", "n_scope_0_r_"), ("let r; r = xs.map(f => f + 1).filter(g => g);", "call_proxy_", "wr_ref_"), ("xs.map(f => f + 1).filter(g => g);", "expr_stmt_", None)])
 def test_each_call_of_a_chain_has_its_own_subgraph(text, host, taker):
     t = Graph(ir("const xs = [];\n" + text)).tables()

@@ -97,6 +97,12 @@ def degrees(graph: DataFrame) -> DataFrame:
     return ends.groupBy("path", "e.id").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
 
 
+def with_degrees(rows: DataFrame, graph: DataFrame) -> DataFrame:
+    """``rows`` (path, id and others) with the degrees of their nodes, 0 without an edge. A merge join: Spark's estimate counts
+    one element for an array of any length, so that it would broadcast the degrees of millions of nodes."""
+    return rows.join(degrees(graph).hint("merge"), ["path", "id"], "left").fillna(0, ["out_degree", "in_degree"])
+
+
 def stats(graph: DataFrame) -> DataFrame:
     """(path, line, label, out_degree, in_degree) of every node. Give graphs that are written or cached: they are read twice."""
     rows = code.graph_rows(graph, "nodes").join(degrees(graph), ["path", "id"], "left").fillna(0, ["out_degree", "in_degree"])

@@ -367,7 +367,7 @@ def script_edges(spark: SparkSession, d: str) -> DataFrame:
 SELECT path, id, (SELECT count(*) FROM e WHERE e.path = n.path AND e.src = n.id) AS n_out, (SELECT count(*) FROM e WHERE e.path = n.path AND e.dst = n.id) AS n_in FROM n WHERE id IS NOT NULL""")
 def script_degrees(spark: SparkSession, d: str) -> DataFrame:
     graph = settled(code.file_graphs(_programs(spark, d)).select("path", "nodes", "edges"))
-    rows = graph.select("path", F.explode("nodes.id").alias("id")).join(files.degrees(graph), ["path", "id"], "left").fillna(0)
+    rows = files.with_degrees(graph.select("path", F.explode("nodes.id").alias("id")), graph)
     return rows.select("path", "id", F.col("out_degree").alias("n_out"), F.col("in_degree").alias("n_in"))
 
 
