@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.__main__ import main
 from weftline.functions import naming, offsets
 from weftline.functions.queries import highlight_queries, root_queries
-from weftline.operators import files
+from weftline.operators import files, reach
 from weftline.sources import code
 from weftline.sources.script import plugins
 from weftline.sources.script.bind import analyse
@@ -442,6 +442,19 @@ def test_degrees_are_joined_without_a_broadcast(spark, sf):
     assert not broadcasts(QUERIES["script_degrees"](spark, sf))
 
 
+def test_large_highlights_are_searched_without_a_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([("a.ts", "const a = 1;\nconst L1 = a;\nconst c = L1;"), ("b.ts", "const a = 1;\nconst c = a;")], "path string, text string")
+    graph = code.file_graphs(rows).persist()
+    plans = []
+    for module in (files, reach):
+        monkeypatch.setattr(module, "settled", lambda df, f=module.settled: (plans.append(broadcasts(df)), f(df))[1])
+    monkeypatch.setattr(reach, "BROADCAST_IDS", 0)
+    marks = files.highlighted(files.keyed_nodes(graph), files.keyed_edges(graph), "L1,c..a,c..+b")
+    assert len(plans) > 10 and not any(plans) and not broadcasts(marks) and marks.count() == 5
+    end = spark.createDataFrame([(1,)], "id long")
+    assert not broadcasts(reach.between(end, end, spark.createDataFrame([(2, 3)], "src long, dst long")))
+
+
 @pytest.mark.parametrize("text, host, taker", [("const r = xs.map(f => f + 1).filter(g => g);", "call_proxy_", "n_scope_0_r_"), ("let r; r = xs.map(f => f + 1).filter(g => g);", "call_proxy_", "wr_ref_"), ("xs.map(f => f + 1).filter(g => g);", "expr_stmt_", None)])
 def test_each_call_of_a_chain_has_its_own_subgraph(text, host, taker):
     t = Graph(ir("const xs = [];\n" + text)).tables()

@@ -49,7 +49,7 @@ def with_names(nodes: DataFrame, queries: list[Endpoint]) -> DataFrame:
     """The nodes with a column for each ambiguous name: whether a node of their file has it."""
     for query in {q.name: q for q in queries if q.ambiguous}.values():
         having = nodes.where(F.col("name") == query.name).select("path").distinct().withColumn(f"has_{query.name}", F.lit(True))
-        nodes = nodes.join(having, "path", "left")
+        nodes = nodes.join(having.hint("merge"), "path", "left")
     return nodes
 
 

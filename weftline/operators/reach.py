@@ -1,7 +1,8 @@
 """Reachability over an edge table: level by level, with the visited nodes taken out before each step.
 
 The edges are written once as pairs, so that no level reads or shuffles their source again. A frontier of up to
-BROADCAST_IDS is broadcast, and only the ids that it finds are exchanged; a larger one is joined by a shuffle. Nothing is collected.
+BROADCAST_IDS is broadcast, and only the ids that it finds are exchanged; a larger one is joined by a shuffle, asked for by a
+hint: estimates of checkpoints over exploded arrays are far too small, and Spark would broadcast either side. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -48,15 +49,15 @@ def search(seeds: DataFrame, steps: DataFrame, radius: int | None, forward: bool
 
 
 def _side(ids: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("merge")
 
 
 def between(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
     """Ids on a path from left to right or from right to left."""
     steps = pairs(edges)
     reach = lambda seeds, forward: search(seeds, steps, None, forward).select("id")
-    one = reach(left, True).intersect(reach(right, False))
-    return one.union(reach(right, True).intersect(reach(left, False))).distinct()
+    both = lambda start, end: reach(start, True).join(reach(end, False).hint("merge"), "id", "left_semi")
+    return both(left, right).union(both(right, left)).distinct()
 
 
 def closure(nodes: DataFrame) -> DataFrame:
