@@ -455,6 +455,14 @@ def test_large_highlights_are_searched_without_a_broadcast(spark, monkeypatch):
     assert not broadcasts(reach.between(end, end, spark.createDataFrame([(2, 3)], "src long, dst long")))
 
 
+def test_edges_of_points_are_marked_without_a_broadcast(spark):
+    rows = spark.createDataFrame([("a.ts", "const a = 1;\nconst b = a;\nconst c = b;\nconst d = c;")], "path string, text string")
+    graph = code.file_graphs(rows).persist()
+    edges = files.keyed_edges(graph)
+    found = files.marked_edges(edges, files.highlighted(files.keyed_nodes(graph), edges, "b"))
+    assert not broadcasts(found) and found.count() == 2
+
+
 @pytest.mark.parametrize("text, host, taker", [("const r = xs.map(f => f + 1).filter(g => g);", "call_proxy_", "n_scope_0_r_"), ("let r; r = xs.map(f => f + 1).filter(g => g);", "call_proxy_", "wr_ref_"), ("xs.map(f => f + 1).filter(g => g);", "expr_stmt_", None)])
 def test_each_call_of_a_chain_has_its_own_subgraph(text, host, taker):
     t = Graph(ir("const xs = [];\n" + text)).tables()

@@ -80,9 +80,9 @@ def highlighted(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
 
 
 def marked_edges(edges: DataFrame, marks: DataFrame) -> DataFrame:
-    """The edges of points, and those between two nodes of ``highlighted``."""
+    """The edges of points, and those between two nodes of ``highlighted``, by merge joins as in ``with_degrees``."""
     for end in ("src", "dst"):
-        edges = edges.join(marks.select(F.col("id").alias(end), F.col("point").alias(f"_{end}")), end, "left")
+        edges = edges.join(marks.select(F.col("id").alias(end), F.col("point").alias(f"_{end}")).hint("merge"), end, "left")
     return edges.where("_src OR _dst OR (_src IS NOT NULL AND _dst IS NOT NULL)").drop("_src", "_dst")
 
 
