@@ -442,6 +442,14 @@ def test_degrees_are_joined_without_a_broadcast(spark, sf):
     assert not broadcasts(QUERIES["script_degrees"](spark, sf))
 
 
+def test_statistics_are_joined_without_a_broadcast(spark, sf):
+    from weftline.plans.registry import QUERIES
+
+    assert not broadcasts(QUERIES["script_stats"](spark, sf))
+    rows = spark.createDataFrame([("a.ts", "const a = 1;\nconst b = a;")], "path string, text string")
+    assert {tuple(r)[2:] for r in files.stats(code.file_graphs(rows)).collect()} == {("a.ts:2 unused b", 0, 1), ("a.ts:1 a", 1, 0)}
+
+
 def test_large_highlights_are_searched_without_a_broadcast(spark, monkeypatch):
     rows = spark.createDataFrame([("a.ts", "const a = 1;\nconst L1 = a;\nconst c = L1;"), ("b.ts", "const a = 1;\nconst c = a;")], "path string, text string")
     graph = code.file_graphs(rows).persist()

@@ -105,6 +105,6 @@ def with_degrees(rows: DataFrame, graph: DataFrame) -> DataFrame:
 
 def stats(graph: DataFrame) -> DataFrame:
     """(path, line, label, out_degree, in_degree) of every node. Give graphs that are written or cached: they are read twice."""
-    rows = code.graph_rows(graph, "nodes").join(degrees(graph), ["path", "id"], "left").fillna(0, ["out_degree", "in_degree"])
+    rows = with_degrees(code.graph_rows(graph, "nodes"), graph)
     label = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.when(F.col("unused"), " unused ").otherwise(" "), F.col("name"))
     return rows.select("path", "line", label.alias("label"), "out_degree", "in_degree")
